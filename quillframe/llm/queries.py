@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, line_dedup, secret_scan
+from . import common, exact_dedup, language_id, line_dedup, media_columns, mixing, ngram_join, packing, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(*exact_dedup.split_batches(documents(spark, sf_dir)))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.media_columns(documents(spark, sf_dir))
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(documents(spark, sf_dir))[0]
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), share=0.5, max_epochs=2)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_frequent_lines(documents(spark, sf_dir), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -31,6 +53,11 @@ def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_media_columns": op4_media_columns,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_language_id": op7_language_id,
+        "op9_source_mixing": op9_source_mixing,
         "op10_line_dedup": op10_line_dedup,
     }
 
@@ -79,5 +106,28 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM m GROUP BY doc_id"""
 
 
+def _mixing_sql(share: float = 0.5, max_epochs: int = 2) -> str:
+    when = " ".join(f"WHEN domain = '{path[0]}' THEN {float(w)}" for path, w in mixing.WEIGHTS.items())
+    steps, leaf = [], "domain, lang, source"
+    for depth in (1, 2, 3):
+        node = ", ".join(mixing.LEVELS[:depth])
+        part = f"PARTITION BY {', '.join(mixing.LEVELS[: depth - 1])}" if depth > 1 else ""
+        w = f"CASE {when} ELSE 1.0 END" if depth == 1 else "1.0"
+        steps.append(f"""n{depth} AS (SELECT {node}, max(given) AS given, CAST(sum(tokens) * {max_epochs} AS DOUBLE) AS cap, CAST({w} AS DOUBLE) AS w FROM l{depth - 1} GROUP BY {node}),
+s{depth} AS (SELECT *, cap * sum(w) OVER ({part} ORDER BY cap / w, {mixing.LEVELS[depth - 1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= w * (given - coalesce(sum(cap) OVER ({part} ORDER BY cap / w, {mixing.LEVELS[depth - 1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS filled FROM n{depth}),
+b{depth} AS (SELECT {node}, CASE WHEN filled THEN cap ELSE (given - coalesce(sum(cap) FILTER (WHERE filled) OVER ({part}), 0)) / sum(w) FILTER (WHERE NOT filled) OVER ({part}) * w END AS share FROM s{depth}),
+l{depth} AS (SELECT {leaf}, tokens, share AS given FROM l{depth - 1} JOIN b{depth} USING ({node}))""")
+    crc = " ".join(f"WHEN source = 'src{i}' THEN 'd{zlib.crc32(f'src{i}'.encode()) % mixing.DOMAINS}'" for i in range(20))
+    return f"""
+WITH r AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents),
+d AS (SELECT *, CASE {crc} ELSE 'd{zlib.crc32(b"") % mixing.DOMAINS}' END AS domain FROM r),
+l0 AS (SELECT {leaf}, sum(tokens) AS tokens, floor((SELECT sum(tokens) FROM d) * CAST({share} AS DOUBLE)) AS given FROM d GROUP BY {leaf}),
+{", ".join(steps)},
+f AS (SELECT {leaf}, CAST(tokens AS BIGINT) AS lt, CAST(floor(given) AS BIGINT) AS budget, least(CAST(floor(given) AS BIGINT) // CAST(tokens AS BIGINT), {max_epochs}) AS epochs FROM l3 WHERE tokens > 0),
+k AS (SELECT d.*, f.lt, f.budget, f.epochs, CAST('0x' || substr(md5('{mixing.SEED}:' || f.epochs || ':' || d.doc_id), 1, 15) AS BIGINT) AS key FROM d LEFT JOIN f USING ({leaf})),
+c AS (SELECT *, sum(tokens) OVER (PARTITION BY {leaf} ORDER BY key, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM k)
+SELECT doc_id, {leaf}, tokens, CAST(coalesce(epochs + CASE WHEN epochs < {max_epochs} AND budget - epochs * lt > 0 AND upto <= budget - epochs * lt THEN 1 ELSE 0 END, 0) AS BIGINT) AS copies FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _secret_sql(), "op2_exact_dedup": COPIES_SQL, "op10_line_dedup": LINES_SQL}
+    return {"op9_source_mixing": _mixing_sql(), "op1_secret_scan": _secret_sql(), "op2_exact_dedup": COPIES_SQL, "op10_line_dedup": LINES_SQL}
