@@ -84,8 +84,8 @@ def least_overlap(n):
 
 
 def shown(n: int) -> int:
-    """Prefix tokens that the screen shows of a set of n, so that 1 + n // 10 common ones are among them."""
-    return min(n, n - least_overlap(n) + 1 + n // 10)
+    """Prefix tokens that the screen shows of a set of n, so that 1 + 3 n // 10 common ones are among them."""
+    return min(n, n - least_overlap(n) + 1 + 3 * n // 10)
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], list]]:
@@ -123,6 +123,7 @@ def gathered(table: pa.Table, name: str, kind: str) -> np.ndarray:
 
 
 SHOWN = pa.schema([("bucket", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("met", pa.binary()), ("signs", pa.binary())])
+MET = pa.schema([("home", pa.int64()), ("who", pa.binary()), ("times", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("signs", pa.binary())])
 SCREENED = pa.schema([("doc_id", pa.int64()), ("met", pa.int64()), ("n", pa.int64()), ("sign", pa.binary())])
 
 
@@ -149,22 +150,37 @@ def show(buckets: int):
     return run
 
 
-def meet(table: pa.Table) -> pa.Table:
-    """Tokens of one bucket that more than one batch shows, counted per owner; facts about documents pass through."""
-    tokens, owners = gathered(table, "tokens", "u4"), gathered(table, "owners", "i8")
-    order = np.argsort(tokens, kind="stable")
-    tokens, owners = tokens[order], owners[order]
-    same = tokens[1:] == tokens[:-1]
-    shared = np.r_[False, same] | np.r_[same, False] if len(tokens) else np.zeros(0, bool)
-    who, times = np.unique(owners[shared & (owners != NO_ID + 1)], return_counts=True)
-    signs = b"".join(table.column("signs").to_pylist())
-    ids, n = gathered(table, "ids", "i8"), gathered(table, "counts", "i8")
-    return pa.table(
-        [
-            pa.array(np.r_[who, ids]), pa.array(np.r_[times, gathered(table, "met", "i8")]),
-            pa.array([None] * len(who) + n.tolist(), pa.int64()), pa.array([None] * len(who) + [signs[16 * i : 16 * i + 16] for i in range(len(ids))], pa.binary()),
-        ], schema=SCREENED,
-    )
+def home_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (stir(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def meet(buckets: int):
+    """Tokens of one bucket that more than one batch shows, counted per owner and sent home packed; facts about documents go the same way."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tokens, owners = gathered(table, "tokens", "u4"), gathered(table, "owners", "i8")
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        same = tokens[1:] == tokens[:-1]
+        shared = np.r_[False, same] | np.r_[same, False] if len(tokens) else np.zeros(0, bool)
+        who, times = np.unique(owners[shared & (owners != NO_ID + 1)], return_counts=True)
+        ids, n, met, signs = gathered(table, "ids", "i8"), gathered(table, "counts", "i8"), gathered(table, "met", "i8"), gathered(table, "signs", "V16")
+        rows = [(h, w, t, b"", b"", b"") for h, w, t in by_part(home_of(who, buckets), who, times)]
+        rows += [(h, i, m, i, c, s) for h, i, m, c, s in by_part(home_of(ids, buckets), ids, met, n, signs)]
+        return pa.Table.from_batches([table_of(rows, MET)])
+
+    return run
+
+
+def screened(table: pa.Table) -> pa.Table:
+    """One row per document of a home: tokens met elsewhere, set size and signature, those of the largest set if an id is repeated."""
+    who, times = gathered(table, "who", "i8"), gathered(table, "times", "i8")
+    ids, n, signs = gathered(table, "ids", "i8"), gathered(table, "counts", "i8"), gathered(table, "signs", "V16")
+    last = np.lexsort((signs.view("u8").reshape(-1, 2)[:, 0], n, ids))
+    last = last[np.r_[ids[last][1:] != ids[last][:-1], True]] if len(ids) else last
+    ids, n, signs = ids[last], n[last], signs[last]
+    met = np.bincount(np.searchsorted(ids, who), times, minlength=len(ids)).astype(np.int64)
+    return pa.table([pa.array(ids), pa.array(met), pa.array(n), pa.array([s.tobytes() for s in signs], pa.binary())], schema=SCREENED)
 
 
 WHOLE = pa.schema([("bucket", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary())])
@@ -191,12 +207,16 @@ def rarity(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         tokens, owners, sizes = gathered(table, "tokens", "u8"), gathered(table, "owners", "i8"), gathered(table, "sizes", "u4")
-        rows = np.unique(np.rec.fromarrays([tokens, owners, sizes], names="t,o,n"))  # repeated rows of one id count once
-        _, back, times = np.unique(rows["t"], return_inverse=True, return_counts=True)
-        times = times[back]
+        order = np.lexsort((owners, tokens))
+        tokens, owners, sizes = tokens[order], owners[order], sizes[order]
+        # repeated rows of one id count once
+        new = np.r_[True, (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])] if len(tokens) else np.zeros(0, bool)
+        tokens, owners, sizes = tokens[new], owners[new], sizes[new]
+        _, back, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        times = times[back].astype(np.uint32)
         keep = times > 1
-        home = (stir(rows["o"][keep].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        return pa.Table.from_batches([table_of(list(by_part(home, rows["t"][keep], rows["o"][keep], rows["n"][keep], times[keep].astype(np.uint32))), COMMON)])
+        home = home_of(owners[keep], buckets)
+        return pa.Table.from_batches([table_of(list(by_part(home, tokens[keep], owners[keep], sizes[keep], times[keep])), COMMON)])
 
     return run
 
@@ -280,11 +300,11 @@ def jaccard_classes(docs: DataFrame, all_links: bool = False) -> tuple[DataFrame
     buckets = common.partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    packed = texts.mapInArrow(show(buckets), spark_schema(SHOWN)).groupBy("bucket").applyInArrow(meet, spark_schema(SCREENED))
-    info = packed.groupBy("doc_id").agg(F.sum("met").alias("met"), F.max(F.struct("n", "sign")).alias("set"))
-    info = ws.save(info.select("doc_id", "met", "set.n", "set.sign"), "info")
+    packed = texts.mapInArrow(show(buckets), spark_schema(SHOWN)).groupBy("bucket").applyInArrow(meet(buckets), spark_schema(MET))
+    info = ws.save(packed.groupBy("home").applyInArrow(screened, spark_schema(SCREENED)), "info")
     classes = ws.save(info.filter("n > 0").groupBy("n", "sign").agg(F.min("doc_id").alias("class_id"), F.max("met").alias("met")), "classes")
-    needed = 1 + F.floor(least_overlap(F.col("n")) / 10)
+    # a partner has at least 0.8 n tokens, and shows as many common ones as its own size promises
+    needed = 1 + F.floor(least_overlap(F.col("n")) * 3 / 10)
     chosen = ws.save(classes.filter(F.col("met") >= needed).select(F.col("class_id").alias("doc_id"), "sign"), "chosen")
 
     named = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
