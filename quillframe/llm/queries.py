@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, language_id, line_dedup, media_columns, mixing, ngram_join, packing, secret_scan
+from . import common, exact_dedup, language_id, license_scan, line_dedup, media_columns, mixing, ngram_join, packing, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(*exact_dedup.split_batches(documents(spark, sf_dir)))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_columns(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_license_scan": op3_license_scan,
         "op4_media_columns": op4_media_columns,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_best_fit_packing": op6_best_fit_packing,
