@@ -1,6 +1,69 @@
-STAGES = []
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+Every stage takes ``(spark, docs, sf_dir)``. All but the last return the columns
+of ``docs`` for the rows that they keep; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillframe.llm import common, exact_dedup, language_id, mixing, ngram_join, packing
+
+#: Share of the tokens left by the stages before that the mix takes; an epoch each at most, as ``documents`` has a row per id.
+MIX_SHARE = 0.9
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents in which no language is found: null texts and texts without a letter."""
+    common.small_batches(spark)
+    langs, table = language_id.fit(docs.filter(~language_id.held_out()))
+    found = language_id.predict(docs, langs, table).filter("lang_pred <> 'und'").select("doc_id").distinct()
+    return keep_ids(docs.filter(F.col("text").isNotNull()), found)
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of equal texts stays."""
+    return keep_ids(docs, exact_dedup.find_copies(*exact_dedup.split_batches(docs)).filter("kept").select("doc_id"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each component of near copies stays; documents without words link with nothing and stay."""
+    found, _ = ngram_join.jaccard_classes(docs)
+    return keep_ids(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the hierarchical budget selects."""
+    return keep_ids(docs, mixing.mix(docs, share=MIX_SHARE, max_epochs=1).filter("copies > 0").select("doc_id"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return packing.pack(docs)
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    ids = ids.select(F.col("doc_id").alias("kept_id"))
+    return docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+
+
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", copies),
+    ("ngram_jaccard_join", near_copies),
+    ("source_mixing", mixed),
+    ("best_fit_packing", packed),
+]
+
+#: Language likelihoods, set similarity joins and tokenizers have no SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ws = common.Workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = ws.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -238,7 +238,7 @@ def assemble(table: pa.Table) -> pa.Table:
 
 
 def spark_schema(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    kinds = {pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 

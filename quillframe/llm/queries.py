@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, language_id, license_scan, line_dedup, media_columns, mixing, ngram_join, packing, secret_scan
+from . import common, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, media_columns, mixing, ngram_join, packing, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.backoff_scores(documents(spark, sf_dir))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), share=0.5, max_epochs=2)
 
@@ -62,6 +66,7 @@ def queries() -> dict:
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_language_id": op7_language_id,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_source_mixing": op9_source_mixing,
         "op10_line_dedup": op10_line_dedup,
     }
