@@ -1,9 +1,15 @@
 """All queries over the reference operators, by name."""
 
+from __future__ import annotations
+
+from quillframe.plans import sequences
+
+PLANS = (sequences,)
+
 
 def queries():
-    return {}
+    return {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
