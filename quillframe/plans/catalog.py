@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillframe.plans import sequences
+from quillframe.plans import reports, sequences, streams, tracks
 
-PLANS = (sequences,)
+PLANS = (sequences, tracks, reports, streams)
 
 
 def queries():

@@ -151,7 +151,7 @@ def area_jump(spark, d):
 def monotone_dedup(spark, d):
     """Frames that don't advance past what was emitted, in order of arrival, are dropped."""
     arrived = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("slug"), F.col("l_orderkey").alias("arrival"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 500).alias("frame"))
-    before = F.max("frame").over(Window.partitionBy("slug").orderBy("arrival", "line").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("frame").over(Window.partitionBy("slug").orderBy("arrival", "line", "frame").rowsBetween(Window.unboundedPreceding, -1))
     return arrived.withColumn("emitted", before).filter(F.col("emitted").isNull() | (F.col("frame") > F.col("emitted"))).drop("emitted")
 
 
@@ -198,7 +198,7 @@ SQL = {
       b AS (SELECT *, last_value(area IGNORE NULLS) OVER (PARTITION BY slug ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a)
       SELECT slug, frame, round(coalesce(greatest(area / nullif(before, 0), before / nullif(area, 0)), 1), 6) AS jump FROM b""",
     "monotone_dedup": """WITH a AS (SELECT l_suppkey AS slug, l_orderkey AS arrival, l_linenumber AS line, l_partkey % 500 AS frame FROM lineitem),
-      b AS (SELECT *, max(frame) OVER (PARTITION BY slug ORDER BY arrival, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM a) SELECT slug, arrival, line, frame FROM b WHERE e IS NULL OR frame > e""",
+      b AS (SELECT *, max(frame) OVER (PARTITION BY slug ORDER BY arrival, line, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM a) SELECT slug, arrival, line, frame FROM b WHERE e IS NULL OR frame > e""",
     "linspace_sample": ALL + """, n AS (SELECT *, unnest(range(5)) AS nth FROM shots) SELECT slug, shot_id, CAST(nth AS INT) AS nth, CAST(trunc(start + nth * ("end" - 1 - start) / 4) AS BIGINT) AS frame FROM n""",
     "density_runs": ALL + """SELECT slug, shot_id, CAST(greatest(1, least(least(greatest(2, ("end" - start) // 15), 10), ("end" - start) // 4)) AS BIGINT) AS runs FROM shots""",
     "pick_nonoverlap": f"""WITH RECURSIVE {FRAMES}, p AS (SELECT * FROM frames WHERE cls <> 'error'), m AS (SELECT slug, unnest(range(0, max(frame) + 1, 5)) AS s FROM p GROUP BY slug),
