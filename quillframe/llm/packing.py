@@ -20,7 +20,9 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from . import common
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
+#: Texts, and characters, that are encoded together.
+TOGETHER, CHARS_TOGETHER = 128, 2_000_000
 #: A space before other than white space always starts a word of the byte-level vocabulary.
 WORD_START = re.compile(r" (?=\S)")
 
@@ -42,6 +46,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_parts(word: str) -> list[str]:
+    """Parts of a word that the vocabulary never joins: lines around single newlines, and a mark after a Latin letter at their ends."""
+    lines = word.split("\n")
+    inner = lines[0][1:] if lines[0][:1] == " " else lines[0]
+    if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in [inner, *lines[1:]]):
+        return [word]
+    out: list[str] = []
+    for i, line in enumerate(lines):
+        if i:
+            out.append("\n")
+        if line[-1:] in (".", ",") and len(line) > 1 and line[-2].isalpha() and line[-2] < "\u0250":
+            out += [line[:-1], line[-1]]
+        else:
+            out.append(line)
+    return out
+
+
 class Encoder:
     """Ids of whole texts; what is encoded is remembered word by word, up to a bound."""
 
@@ -54,18 +75,24 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        head, *rest = WORD_START.split(text)
-        words = [head, *[" " + w for w in rest]] if head else [" " + w for w in rest]
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The same for several texts, whose new words are encoded together."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, split = self.known, []
+        for text in texts:
+            head, *rest = WORD_START.split(text)
+            split.append([head, *[" " + w for w in rest]] if head else [" " + w for w in rest])
+        new = {w: word_parts(w) for w in set(chain.from_iterable(split)).difference(known)}
+        parts = list(set(chain.from_iterable(new.values())).difference(known))
+        for w, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+        for w, own in new.items():
+            if len(own) > 1:
+                known[w] = b"".join([known[x] for x in own])
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -74,6 +101,18 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, min(first, n)), *((s, capacity) for s in range(first, n, capacity))]
 
 
+def encoded(encoder: Encoder, column: pa.Array) -> Iterator[bytes]:
+    texts: list[str] = []
+    held = 0
+    for text in column:
+        texts.append(text.as_py() or "")
+        held += len(texts[-1])
+        if len(texts) >= TOGETHER or held >= CHARS_TOGETHER:
+            yield from encoder.encode_all(texts)
+            texts, held = [], 0
+    yield from encoder.encode_all(texts)
+
+
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` for every piece of every row."""
     common.ship(__name__)
@@ -85,8 +124,8 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
         encoder, end = Encoder(path or tokenizer_path()), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for at, text in enumerate(batch.column("text")):
-                ids = encoder.encode(text.as_py() or "") + end
+            for at, ids in enumerate(encoded(encoder, batch.column("text"))):
+                ids += end
                 out += [(at, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
             cols = list(zip(*out, strict=True)) or [()] * 5
             arrays = [batch.column("doc_id").take(pa.array(cols[0], pa.int32())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))]
