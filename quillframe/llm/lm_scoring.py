@@ -9,8 +9,8 @@ factor of 0.4, and a word that nobody else has counts as half an occurrence.
 It is relational and in two exchanges. *Explode*: tasks hash their documents'
 n-grams and send the distinct ones of each batch, packed, to the bucket of their
 hash, where the count table of that bucket is summed. *Join*: each bucket sends
-a batch the counts of what it asked for, in the order in which it asked; they
-meet the batch's word sequences, which a second scan sends there, and are summed
+a batch what other batches hold of what it asked for, in the order in which it
+asked; the counts meet the batch's word sequences, which a second scan sends there, and are summed
 per document. A batch is known by a stamp of its rows. A frequent n-gram is one entry per batch, however many documents hold it.
 
 Defined results: null texts and texts without words have no tokens and a null
@@ -114,7 +114,7 @@ def tell(table: pa.Table) -> pa.Table:
         known, back = np.unique(grams_, return_inverse=True)
         counts = np.zeros(len(known), np.int64)
         np.add.at(counts, back, times)
-        answer, at = counts[back], 0
+        answer, at = counts[back] - times, 0  # what other batches hold, mostly nothing
         for r in asked:
             n = len(r["grams"]) // 8
             rows.append((r["batch"], level, r["bucket"], answer[at : at + n].tobytes(), None, None, None))
@@ -135,14 +135,14 @@ def score(order: int, buckets: int):
         doc = np.repeat(np.arange(len(sizes)), sizes)
         others, full = [], []
         for level in range(order):
-            _, bucket, _, at, place = distinct(words, doc, level, buckets)
+            _, bucket, times, at, place = distinct(words, doc, level, buckets)
             told = np.frombuffer(b"".join(replies.get((level, b), b"") for b in np.unique(bucket).tolist()), "i8")
             if len(told) != len(bucket):
                 raise ValueError("the two scans dealt different batches")
             # own occurrences of each document are taken off
             _, back, own = np.unique(doc[at] * (len(bucket) + 1) + place, return_inverse=True, return_counts=True)
             rest = np.zeros(len(words), np.int64)
-            rest[at] = told[place] - own[back]
+            rest[at] = (told + times)[place] - own[back]
             others.append(rest)
             full.append(np.isin(np.arange(len(words)), at, assume_unique=True))
         part, done, top = np.zeros(len(words)), np.zeros(len(words), bool), np.sum(full, axis=0) - 1
