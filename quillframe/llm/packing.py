@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +103,14 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, min(first, n)), *((s, capacity) for s in range(first, n, capacity))]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """One encoder per worker process, which serves many tasks. This module is shipped anew with each task, so it is kept outside of it."""
+    kept = sys.modules.setdefault("quillframe_worker_state", ModuleType("quillframe_worker_state")).__dict__.setdefault("encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def encoded(encoder: Encoder, column: pa.Array) -> Iterator[bytes]:
     texts: list[str] = []
     held = 0
@@ -121,7 +131,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(path or tokenizer_path()), np.array([end_id], "<u4").tobytes()
+        encoder, end = worker_encoder(path or tokenizer_path()), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for at, ids in enumerate(encoded(encoder, batch.column("text"))):
