@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import re
 import sys
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -103,12 +104,13 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, min(first, n)), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def worker_encoder(path: str) -> Encoder:
-    """One encoder per worker process, which serves many tasks. This module is shipped anew with each task, so it is kept outside of it."""
+def worker_encoder(path: str, run_id: str) -> Encoder:
+    """One encoder per worker process for all tasks of one run; what an earlier run remembered is let go. This module is shipped anew with each task, so it is kept outside of it."""
     kept = sys.modules.setdefault("quillframe_worker_state", ModuleType("quillframe_worker_state")).__dict__.setdefault("encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if (run_id, path) not in kept:
+        kept.clear()
+        kept[run_id, path] = Encoder(path)
+    return kept[run_id, path]
 
 
 def encoded(encoder: Encoder, column: pa.Array) -> Iterator[bytes]:
@@ -126,12 +128,13 @@ def encoded(encoder: Encoder, column: pa.Array) -> Iterator[bytes]:
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` for every piece of every row."""
     common.ship(__name__)
+    run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = worker_encoder(path or tokenizer_path()), np.array([end_id], "<u4").tobytes()
+        encoder, end = worker_encoder(path or tokenizer_path(), run_id), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for at, ids in enumerate(encoded(encoder, batch.column("text"))):
