@@ -71,6 +71,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of a key screen per key, and the bound of its size: 2^27 bits are 16 MiB, whatever the keys.
+SCREEN_BITS_PER_KEY, SCREEN_MOST_BITS, SCREEN_PAGE = 32, 1 << 27, 1 << 15
+
+
+def screen_bits(n_keys: int) -> int:
+    """Bits of the screen of so many keys: a power of 2, one page at least."""
+    return min(SCREEN_MOST_BITS, max(SCREEN_PAGE, 1 << (SCREEN_BITS_PER_KEY * n_keys - 1).bit_length()))
+
+
+def screened_by(rows: DataFrame, keys: DataFrame, key: str, n_keys: int, most_bits: int = SCREEN_MOST_BITS) -> DataFrame:
+    """``rows`` without most of those whose ``key``, never null, isn't among the ``n_keys`` of ``keys``.
+
+    A bit table of the keys' hashes, built by an aggregation and at most
+    ``most_bits`` long, is broadcast, so that wide rows needn't move to be found
+    useless. It never drops a row whose key is there. With more keys than it has room for it lets
+    more rows through; the exact join that must follow then does that work.
+    """
+    bits = min(most_bits, screen_bits(n_keys))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    page, at = F.floor(place / SCREEN_PAGE).cast("long"), F.pmod(place, F.lit(SCREEN_PAGE))
+    table = keys.groupBy(page.alias("screen_page")).agg(F.bitmap_construct_agg(at).alias("screen_marks"))
+    byte = F.conv(F.hex(F.substring("screen_marks", F.floor(F.col("screen_at") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    marked = F.call_function("getbit", byte, F.pmod(F.col("screen_at"), F.lit(8)).cast("int")) == 1
+    placed = rows.withColumns({"screen_page": page, "screen_at": at})
+    return placed.join(F.broadcast(table), "screen_page").filter(marked).select(*rows.columns)
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

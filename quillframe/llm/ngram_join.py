@@ -308,6 +308,8 @@ def jaccard_classes(docs: DataFrame, all_links: bool = False) -> tuple[DataFrame
     chosen = ws.save(classes.filter(F.col("met") >= needed).select(F.col("class_id").alias("doc_id"), "sign"), "chosen")
 
     named = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    # few texts are chosen, so most needn't move to meet the list
+    named = common.screened_by(named, chosen, "doc_id", chosen.count())
     whole = named.join(chosen, "doc_id").select("doc_id", "text", "sign").mapInArrow(unfold(buckets), spark_schema(WHOLE))
     counted = whole.groupBy("bucket").applyInArrow(rarity(buckets), spark_schema(COMMON))
     sets = ws.save(counted.groupBy("home").applyInArrow(assemble, spark_schema(SETS)), "sets")

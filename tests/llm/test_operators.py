@@ -311,3 +311,15 @@ def test_lines(docs, empty, spark):
 def test_shared_folder_is_the_clusters(spark):
     assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert BASE != NEAR and len(LONG) > 100_000
+
+
+@pytest.mark.parametrize("most_bits", [common.SCREEN_MOST_BITS, common.SCREEN_PAGE])
+def test_key_screen_loses_no_key(spark, most_bits):
+    """A full screen lets more through, but never drops a key that is there."""
+    keys = spark.range(-30_000, 30_000, 7).withColumnRenamed("id", "doc_id")
+    rows = spark.range(-100_000, 100_000).withColumnRenamed("id", "doc_id")
+    found = common.screened_by(rows, keys, "doc_id", keys.count(), most_bits)
+    assert found.columns == rows.columns and keys.exceptAll(found).isEmpty() and found.exceptAll(rows).isEmpty()
+    if most_bits > common.SCREEN_PAGE:
+        assert found.count() < 1.1 * keys.count() + 5000
+    assert common.screened_by(rows, keys.limit(0), "doc_id", 0).isEmpty()
