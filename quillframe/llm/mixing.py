@@ -108,7 +108,8 @@ def mix(docs: DataFrame, share: float = 0.5, max_epochs: int = 2, weights: Mappi
     )
     # one row per leaf: the join moves no document when Spark finds the leaves small
     keyed = rows.join(funded, list(LEVELS)).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("leaf_tokens")).withColumn("key", epoch_key(seed, F.col("epochs")))
-    keyed = keyed.withColumn("bucket", F.floor(F.col("key") * F.col("buckets") / float(1 << 60)))
+    # of the key's 60 bits the upper 30 count, so the product stays a long; buckets still follow the key
+    keyed = keyed.withColumn("bucket", F.shiftright(F.shiftright("key", 30) * F.col("buckets"), 30))
     sums = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("in_bucket"))
     before = sums.select(*LEVELS, "bucket", (F.sum("in_bucket").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("in_bucket")).alias("before"))
     running = Window.partitionBy(*LEVELS, "bucket").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)

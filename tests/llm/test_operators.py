@@ -293,6 +293,18 @@ def test_mixing(docs, empty, spark):
         assert all(0 <= r["copies"] <= epochs for r in out)
 
 
+def test_mixing_of_a_leaf_with_many_buckets(spark, monkeypatch):
+    """More than 8 buckets a leaf, where key times buckets passes a long; the seeded prefix is as by brute force."""
+    monkeypatch.setattr(mixing, "TOGETHER", 5)
+    rows = [(i, " ".join(["w"] * (i % 7 + 1)), "en", "src0") for i in range(400)]
+    tokens = {i: len(t.split()) for i, t, _, _ in rows}
+    budget, upto, expected = sum(tokens.values()) // 2, 0, {}
+    for i in sorted(tokens, key=lambda i: (int(hashlib.md5(f"{mixing.SEED}:0:{i}".encode()).hexdigest()[:15], 16), i)):
+        upto += tokens[i]
+        expected[i] = int(upto <= budget)
+    assert {r["doc_id"]: r["copies"] for r in mixing.mix(table(spark, rows), 0.5, 1).collect()} == expected
+
+
 def test_siblings_before_ancestors(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 100), ("a", "y", "3", 100), ("b", "x", "4", 1000)], "domain string, lang string, source string, tokens long")
     got = {r["source"]: r["budget"] for r in mixing.budgets(leaves, F.lit(160), {}, 1).collect()}
