@@ -10,8 +10,15 @@ explode of n-grams and a join with the weight table, whose size is the model's.
 A prediction counts when the template of its family is contained in the
 paragraph to a sufficient degree. All of it is DataFrame functions.
 
-Defined results: null and empty texts have one empty paragraph and no licence.
-Equal paragraphs get equal results; repeated rows give one result each. Other
+A notice is one line, or runs over several up to the next blank line. So what is
+scored is every line alone and every run of lines from it within its paragraph,
+until the run has twice the words of the longest template after its first line.
+Lines without a word aren't counted. Of confirmed runs that overlap, one stands:
+that with the largest share of its template's word pairs, then the shortest,
+then the first.
+
+Defined results: null and empty texts have one empty line and no licence.
+Equal texts get equal results; repeated rows give one result each. Other
 columns are ignored. An empty table gives no rows. Texts are scanned whole.
 """
 
@@ -144,11 +151,45 @@ def model_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, weights array<double>")
 
 
+#: Words of the longest template, twice: a run of lines takes another line while it has fewer.
+RUN_WORDS = 2 * max(len(re.findall(WORD, t.lower())) for ts in NOTICES.values() for t in ts)
+#: All words of templates, and how many of them a text needs to hold CONTAINED of any template.
+KNOWN = sorted({w for ts in NOTICES.values() for t in ts for w in re.findall(WORD, t.lower())})
+LEAST_KNOWN = 4
+#: Lines are joined with their numbers before them; a blank one divides paragraphs.
+BLANK_LINE = r"(?:^|\n)[0-9]+:[ \t\x0B\f\r]*(?=\n|\z)"
+
+
+def runs_of(lines: str, pattern: str):
+    """Runs ``first, last, words`` of numbered ``lines`` that may hold a template: each line alone, and with as many of the next as RUN_WORDS takes."""
+    kind = "struct<first:int,last:int,n:int,known:int,stem:boolean,words:array<string>>"
+    words = F.transform(lines, lambda x: F.struct(F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)).alias("words"), x.rlike(pattern).alias("stem")))
+    known = lambda x: F.size(F.array_intersect(x, F.array(*map(F.lit, KNOWN))))
+    # the first word is the line's number; n counts the words after the first line
+    alone = lambda pos, own, stem: F.struct(pos.alias("first"), pos.alias("last"), F.lit(0).alias("n"), known(own).alias("known"), stem.alias("stem"), own.alias("words")).cast(kind)
+    singles = F.transform(F.filter(words, lambda x: F.size(x["words"]) > 1), lambda x: alone(x["words"][0].cast("int"), F.slice(x["words"], F.lit(2), F.size(x["words"]) - 1), x["stem"]))
+
+    def longer(runs, x):
+        last = F.element_at(runs, -1)
+        run = F.struct(
+            last["first"].alias("first"), x["last"].alias("last"), (last["n"] + F.size(x["words"])).alias("n"), (last["known"] + x["known"]).alias("known"),
+            (last["stem"] | x["stem"]).alias("stem"), F.concat(last["words"], x["words"]).alias("words"),
+        ).cast(kind)
+        return F.when(last["n"] < RUN_WORDS, F.concat(runs, F.array(run))).otherwise(runs).cast(f"array<{kind}>")
+
+    def from_line(x, i):
+        runs = F.aggregate(F.slice("singles", i + 2, F.lit(RUN_WORDS)), F.array(x).cast(f"array<{kind}>"), longer)
+        # a line without a word of a template begins no notice
+        return F.when(x["known"] > 0, F.filter(runs, lambda r: r["stem"] & (r["known"] >= LEAST_KNOWN))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return singles, F.flatten(F.transform("singles", from_line))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_paragraphs, n_license, families, places`` for every row of ``docs(doc_id, text)``.
 
-    Paragraphs are lines. ``families`` is the sorted distinct list of confirmed
-    licences, ``places`` lists paragraph:family of each by position.
+    ``n_paragraphs`` counts lines. ``families`` is the sorted distinct list of
+    confirmed licences, ``places`` lists line:family of each by its first line.
     """
     spark = docs.sparkSession
     ws = common.Workspace(spark, "license_scan")
@@ -156,31 +197,48 @@ def scan(docs: DataFrame) -> DataFrame:
     names = [UNKNOWN, *NOTICES]
     rows = docs.select("doc_id", common.text_or_empty().alias("text"))
     pattern = "(?i)(?<![a-z0-9])(" + "|".join(STEMS[:5]) + "|(" + "|".join(STEMS[5:]) + ")(?![a-z0-9]))"
-    words = F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))
-    lines = rows.filter(F.col("text").rlike(pattern)).select(F.xxhash64("text").alias("text_key"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = ws.save(lines.filter(F.col("line").rlike(pattern)).distinct().select("doc_id", "text_key", "pos", words.alias("words")), "lines")
+    numbered = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(i.cast("string"), F.lit(":"), x)), "\n")
+    pieces = rows.filter(F.col("text").rlike(pattern)).select(F.xxhash64("text").alias("text_key"), "doc_id", F.posexplode(F.split(numbered, BLANK_LINE, -1)).alias("piece", "paragraph"))
+    singles, runs = runs_of("lines", pattern)
+    pieces = pieces.filter(F.col("paragraph").rlike(pattern)).select("doc_id", "text_key", "piece", F.split("paragraph", "\n", -1).alias("lines")).withColumn("singles", singles)
+    runs = pieces.select("doc_id", "text_key", "piece", F.explode(runs).alias("run"))
+    runs = runs.select("doc_id", "text_key", "piece", F.col("run.first").alias("first"), F.col("run.last").alias("last"), F.col("run.words").alias("words"))
 
     def joined(n: int):
         at = F.sequence(F.lit(1), F.size("words") - n + 1)
         return F.when(F.size("words") >= n, F.transform(at, lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
-    lines = lines.withColumn("held", F.array_distinct(F.concat("words", joined(2), joined(3)))).drop("words")
+    def share(held: str, grams: set[str]):
+        return F.size(F.array_intersect(held, F.array(*map(F.lit, sorted(grams))))) / len(grams)
+
+    most = lambda of: of[0] if len(of) == 1 else F.greatest(*of)
+    # what holds no template needs no score
+    runs = runs.withColumn("pairs", F.concat("words", joined(2))).filter(most([share("pairs", template(t)) for ts in NOTICES.values() for t in ts]) >= CONTAINED)
+    lines = ws.save(runs.select("doc_id", "text_key", "piece", "first", "last", F.array_distinct(F.concat("pairs", joined(3))).alias("held")).distinct(), "runs")
     # the weight table is as large as the model, whatever the corpus
-    scored = lines.select("doc_id", "text_key", "pos", F.explode("held").alias("gram")).join(F.broadcast(model_table(spark)), "gram")
-    sums = scored.groupBy("doc_id", "text_key", "pos").agg(*(F.sum(F.col("weights")[i]).alias(f"s{i}") for i in range(len(names))))
+    place = ("doc_id", "text_key", "piece", "first", "last")
+    scored = lines.select(*place, F.explode("held").alias("gram")).join(F.broadcast(model_table(spark)), "gram")
+    sums = scored.groupBy(*place).agg(*(F.sum(F.col("weights")[i]).alias(f"s{i}") for i in range(len(names))))
     logits = [(F.col(f"s{i}") + float(bias[i])) / temperature for i in range(len(names))]
     top = F.array_max(F.array(*(F.struct(z.alias("score"), F.lit(-i).alias("minus")) for i, z in enumerate(logits))))
     total = sum((F.exp(z - F.greatest(*logits)) for z in logits[1:]), F.exp(logits[0] - F.greatest(*logits)))
-    judged = sums.select("doc_id", "text_key", "pos", top.alias("top"), (1 / total).alias("p")).filter((F.col("p") >= threshold) & (F.col("top.minus") < 0))
+    judged = sums.select(*place, top.alias("top"), (1 / total).alias("p")).filter((F.col("p") >= threshold) & (F.col("top.minus") < 0))
     judged = judged.withColumn("family", F.element_at(F.array(*map(F.lit, names)), 1 - F.col("top.minus")))
 
-    def contained(family: str):
-        shares = [F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(t))))) / len(t) for t in map(template, NOTICES[family])]
-        return F.when(F.col("family") == family, F.greatest(*shares) >= CONTAINED)
-
-    keys = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"]) & (a["pos"] == b["pos"])
-    confirmed = judged.join(lines, keys(judged, lines)).select(judged["doc_id"], judged["text_key"], judged["pos"], "family", "held").filter(F.coalesce(*map(contained, NOTICES)))
-    found = confirmed.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "family"))).alias("found"))
+    def by_family(of):
+        return F.coalesce(*(F.when(F.col("family") == f, most([share("held", of(t)) for t in ts])) for f, ts in NOTICES.items()))
+
+    keys = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"]) & (a["piece"] == b["piece"]) & (a["first"] == b["first"]) & (a["last"] == b["last"])
+    confirmed = judged.join(lines, keys(judged, lines)).select(*(judged[c] for c in place), "family", "held").filter(by_family(template) >= CONTAINED)
+    # of runs that overlap, the one with most of its template's pairs is the notice, then the shortest, then the first
+    kind = "array<struct<worse:double,extra:int,first:int,last:int,family:string>>"
+    worse = (-by_family(lambda t: {g for g in template(t) if " " in g})).alias("worse")
+    ranked = confirmed.select(*place, F.struct(worse, (F.col("last") - F.col("first")).alias("extra"), "first", "last", "family").alias("run"))
+    ranked = ranked.groupBy("doc_id", "text_key", "piece").agg(F.array_sort(F.collect_list("run")).cast(kind).alias("runs"))
+    free = lambda taken, x: ~F.exists(taken, lambda y: (x["first"] <= y["last"]) & (y["first"] <= x["last"]))
+    notices = F.aggregate("runs", F.array().cast(kind), lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken).cast(kind))
+    notices = ranked.select("doc_id", "text_key", "piece", F.explode(notices).alias("run"))
+    found = notices.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct(F.col("run.first").alias("pos"), F.col("run.family").alias("family")))).alias("found"))
     found = ws.save(found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "found"), "found")
     facts = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_paragraphs"))
     out = facts.join(found, facts["doc_id"].eqNullSafe(found["found_id"]) & (facts["text_key"] == found["found_key"]), "left")

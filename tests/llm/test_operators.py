@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -76,6 +77,25 @@ def test_licences(docs, empty, spark):
     assert license_scan.scan(docs).count() == len(ROWS) and license_scan.scan(empty).count() == 0
 
 
+def test_licences_over_several_lines(spark):
+    """Notices wrapped at usual and narrow widths, behind comment marks, in prose without blank lines, and two of them in a row."""
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.'
+    bsd, gpl = license_scan.NOTICES["bsd"][0], license_scan.NOTICES["gpl"][1]
+    prose = "Nobody knew where the old road went after the bridge.\nThe miller said it went to the sea."
+    texts, expected = [], []
+    for family, notice in (("mit", mit), ("bsd", bsd), ("gpl", gpl), ("cc-by-nc", license_scan.NOTICES["cc-by-nc"][1])):
+        for width, mark in ((72, ""), (50, " * "), (30, "// ")):
+            wrapped = "\n".join(mark + x for x in textwrap.wrap(notice, width))
+            texts += [f"Title\n \n{wrapped}\n\n{prose}", f"{prose}\n{wrapped}\n{prose}"]
+            expected += [f"2:{family}", f"2:{family}"]
+    texts.append("\n".join(textwrap.wrap(bsd, 60) + textwrap.wrap(gpl, 60)))
+    expected.append(f"0:bsd,{len(textwrap.wrap(bsd, 60))}:gpl")
+    texts.append("Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software\n\nand associated documentation files, to deal in the Software")
+    expected.append("")
+    got = by_id(license_scan.scan(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])))
+    assert [got[i]["places"] for i in range(len(texts))] == expected
+
+
 def test_licence_accuracy_on_unseen_perturbations():
     data = [(text, family) for family, notices in license_scan.NOTICES.items() for text in notices]
     rng, right = random.Random(99), 0
