@@ -336,3 +336,17 @@ def jaccard_classes(docs: DataFrame, all_links: bool = False) -> tuple[DataFrame
         id_or_null("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("part", "doc_id").alias("component_id")
     )
     return out.withColumns({c: id_or_null(c) for c in ("class_id", "component_id")}), links
+
+
+def linked_documents(docs: DataFrame) -> DataFrame:
+    """Documents as by ``jaccard_classes`` with all links, and ``n_links``: how many other documents each is similar to.
+
+    Counted over classes: the others of the own class, and all of each class linked with it.
+    """
+    found, links = jaccard_classes(docs, all_links=True)
+    found = found.withColumn("node", F.coalesce("class_id", F.lit(NO_ID)))
+    sizes = found.filter("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("members"))
+    ends = links.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("node"), F.col("u").alias("other")))
+    beside = ends.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("members").alias("beside"))
+    counted = sizes.join(beside, "node", "left").select("node", (F.col("members") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    return found.join(counted, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).drop("node")

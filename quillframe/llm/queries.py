@@ -33,7 +33,7 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_classes(documents(spark, sf_dir))[0]
+    return ngram_join.linked_documents(documents(spark, sf_dir))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

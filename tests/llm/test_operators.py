@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.llm import common, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, media_columns, mixing, ngram_join, packing, secret_scan
+from quillframe.llm import common, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, media_columns, mixing, ngram_join, packing, queries, secret_scan
 from tests.llm.conftest import BASE, LONG, NEAR, ROWS, WORDS, table
 
 
@@ -184,6 +184,22 @@ def test_jaccard_families(spark, all_links):
         assert {(r["u"], r["v"]) for r in links.collect()} == expected
 
 
+def test_every_link_of_op5_is_counted(spark, tmp_path):
+    """Links inside a component and copies count, with multiplicity, as over all pairs of documents."""
+    rng, base, rows = random.Random(5), WORDS[:150], [(0, None, "en", "s"), (None, " ".join(WORDS[:150]), "en", "s")]
+    for _ in range(30):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+        rows.append((len(rows), " ".join(w), "en", "s"))
+    rows += [(100 + i, rows[2 + i][1], "en", "s") for i in range(4)] + [(200, "a text of its own", "en", "s")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, (t or "").split()) for i, t, _, _ in rows)}
+    similar = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    expected = {i: sum(similar(s, sets[j]) for j in sets if j != i) for i, s in sets.items()}
+    assert {r["doc_id"]: r["n_links"] for r in queries.op5_ngram_jaccard_join(spark, str(tmp_path)).collect()} == expected
+
+
 def check_packing(found, ids, capacity):
     cover = Counter()
     sequences = {}
