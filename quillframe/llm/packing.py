@@ -9,6 +9,9 @@ no two pieces do. The rest is packed best-fit decreasing over counts, equal bins
 together. The plan, a list of length ranks per run of equal bins, goes back to
 the pieces by their rank among pieces of equal length.
 
+Ids are those of the tokenizer as its file has it: where a text holds the string
+of an added token, that is one id.
+
 Defined results: null and empty texts are one piece holding the end id. Repeated
 rows are packed each on their own; ranks among ties follow the id, then the
 piece. Documents over ``capacity`` are cut, the first piece taking what is over.
@@ -18,29 +21,25 @@ Other columns are ignored. An empty table gives no pieces.
 from __future__ import annotations
 
 import bisect
-import re
-import sys
-import uuid
+import math
 import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 CAPACITY = 2048
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 900_000
-#: Texts, and characters, that are encoded together.
-TOGETHER, CHARS_TOGETHER = 128, 2_000_000
-#: A space before other than white space always starts a word of the byte-level vocabulary.
-WORD_START = re.compile(r" (?=\S)")
+#: Distinct words whose ids a task remembers.
+REMEMBERED = 600_000
+#: Bytes of text that are encoded together, but for a text that alone has more.
+BYTES_TOGETHER = 4 << 20
 
 
 def tokenizer_path() -> str:
@@ -49,53 +48,81 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def word_parts(word: str) -> list[str]:
-    """Parts of a word that the vocabulary never joins: lines around single newlines, and a mark after a Latin letter at their ends."""
-    lines = word.split("\n")
-    inner = lines[0][1:] if lines[0][:1] == " " else lines[0]
-    if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in [inner, *lines[1:]]):
-        return [word]
-    out: list[str] = []
-    for i, line in enumerate(lines):
-        if i:
-            out.append("\n")
-        if line[-1:] in (".", ",") and len(line) > 1 and line[-2].isalpha() and line[-2] < "\u0250":
-            out += [line[:-1], line[-1]]
-        else:
-            out.append(line)
-    return out
+def word_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Byte offsets at which texts can be cut without changing any id, the texts' own ``edges`` among them.
+
+    The byte-level vocabulary always parts a space from what stands before it if something visible follows, a single
+    newline from what is visible on both sides, and a full stop or comma at a word's end from the letter before.
+    Characters that may be white space, and "<", where the added token may stand, aren't taken for visible.
+    """
+    free = np.zeros(len(data) + 1, bool)
+    if len(data) > 2:
+        visible = ((data > 32) & (data < 127) & (data != 60)) | ((data >= 0xC3) & ((data < 0xE1) | (data > 0xE3)))
+        free[: len(data) - 1] = (data[:-1] == 32) & visible[1:]
+        letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+        line = np.flatnonzero((data[1:-1] == 10) & (letter[:-2] | (data[:-2] == 46)) & visible[2:]) + 1
+        stop = np.flatnonzero(((data[1:-1] == 46) | (data[1:-1] == 44)) & letter[:-2] & ((data[2:] == 32) | (data[2:] == 10))) + 1
+        free[stop] = True
+        # neither end of a line cut may fall on the end of a text
+        inner = np.zeros(len(data) + 1, bool)
+        inner[edges] = True
+        line = line[~(inner[line] | inner[line + 1])]
+        free[line] = free[line + 1] = True
+    last = edges[1:-1]
+    free[last[last > 0] - 1] = False
+    free[edges] = True
+    return np.flatnonzero(free)
 
 
 class Encoder:
-    """Ids of whole texts; what is encoded is remembered word by word, up to a bound."""
+    """Ids of whole texts. Words are found and grouped as Arrow columns; only words not met before are encoded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The same for several texts, whose new words are encoded together."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, split = self.known, []
-        for text in texts:
-            head, *rest = WORD_START.split(text)
-            split.append([head, *[" " + w for w in rest]] if head else [" " + w for w in rest])
-        new = {w: word_parts(w) for w in set(chain.from_iterable(split)).difference(known)}
-        parts = list(set(chain.from_iterable(new.values())).difference(known))
-        for w, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-        for w, own in new.items():
-            if len(own) > 1:
-                known[w] = b"".join([known[x] for x in own])
-        return [b"".join([known[w] for w in words]) for words in split]
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = array("I"), array("q"), array("q")
+
+    def learn(self, new: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+        self.starts.frombytes((np.cumsum(sizes) - sizes + len(self.ids)).tobytes())
+        self.sizes.frombytes(sizes.tobytes())
+        self.ids.frombytes(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())).tobytes())
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit ids of a column's texts, one after the other, and where each text begins and the last ends."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.empty(0, np.uint8)
+        edges = edges - edges[0]
+        starts = word_starts(data, edges)
+        words = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        if len(self.starts) > REMEMBERED:
+            self.forget()
+        distinct = words.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.places]
+        if new:
+            self.learn(new)
+        place = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
+        begins, sizes = np.array(self.starts)[place], np.array(self.sizes)[place]
+        nth = words.indices.to_numpy()
+        size = sizes[nth]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(begins[nth] - ends + size, size)
+        at += np.arange(total)
+        ids = np.array(self.ids, "<u4")[at] if total else np.empty(0, "<u4")
+        return ids, np.r_[0, ends][np.searchsorted(starts, edges)]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_column(pa.array([text]))[0].tolist()
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -104,42 +131,37 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, min(first, n)), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def worker_encoder(path: str, run_id: str) -> Encoder:
-    """One encoder per worker process for all tasks of one run; what an earlier run remembered is let go. This module is shipped anew with each task, so it is kept outside of it."""
-    kept = sys.modules.setdefault("quillframe_worker_state", ModuleType("quillframe_worker_state")).__dict__.setdefault("encoders", {})
-    if (run_id, path) not in kept:
-        kept.clear()
-        kept[run_id, path] = Encoder(path)
-    return kept[run_id, path]
-
-
-def encoded(encoder: Encoder, column: pa.Array) -> Iterator[bytes]:
-    texts: list[str] = []
-    held = 0
-    for text in column:
-        texts.append(text.as_py() or "")
-        held += len(texts[-1])
-        if len(texts) >= TOGETHER or held >= CHARS_TOGETHER:
-            yield from encoder.encode_all(texts)
-            texts, held = [], 0
-    yield from encoder.encode_all(texts)
+def together(column: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a column of texts, BYTES_TOGETHER each, or one text that has more."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):
+        before = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + BYTES_TOGETHER, "right")))
+        yield column.slice(first, last - first)
+        first = last
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` for every piece of every row."""
     common.ship(__name__)
-    run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = worker_encoder(path or tokenizer_path(), run_id), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder(path or tokenizer_path()), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for at, ids in enumerate(encoded(encoder, batch.column("text"))):
-                ids += end
-                out += [(at, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
+            row = 0
+            for texts in together(batch.column("text")):
+                ids, edges = encoder.encode_column(texts)
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    for i, (s, n) in enumerate(cut(b - a + 1, capacity)):
+                        # the end id stands after the document's last one
+                        crc = zlib.crc32(ids[a + s : min(a + s + n, b)])
+                        out.append((row, i, s, n, zlib.crc32(end, crc) if a + s + n > b else crc))
+                    row += 1
             cols = list(zip(*out, strict=True)) or [()] * 5
             arrays = [batch.column("doc_id").take(pa.array(cols[0], pa.int32())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -262,10 +284,6 @@ def slots(runs: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int,
     return out
 
 
-#: Pieces of one length that are ranked in one window partition, about.
-RANKED_TOGETHER = 20_000
-
-
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; see the module's text."""
     spark = docs.sparkSession
@@ -279,7 +297,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     lookup = {n: np.array(sorted(x), np.int64).T for n, x in by_length.items()}
 
     # Rank among equal lengths without bringing all pieces of a length together: buckets of a length are counted first.
-    shares = F.broadcast(spark.createDataFrame([(n, c // RANKED_TOGETHER + 1) for n, c in counts.items()], "length long, buckets long"))
+    # With c pieces there are about sqrt(c) buckets of sqrt(c), so neither of the two windows grows faster than that.
+    shares = F.broadcast(spark.createDataFrame([(n, math.isqrt(c) + 1) for n, c in counts.items()], "length long, buckets long"))
     cell = pieces.join(shares, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), "buckets")).drop("buckets")
     cells = cell.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = cells.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))

@@ -221,7 +221,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [0] for i, t, _, _ in ROWS}
     times = Counter(i for i, *_ in ROWS)
     cover, n = check_packing(packing.pack(docs).collect(), ids, 2048)
@@ -231,11 +230,31 @@ def test_packing(docs, empty):
 
 
 def test_words_encode_as_whole_texts():
-    encoder = packing.Encoder(packing.tokenizer_path())
+    """Against a tokenizer of its own, as its file has it; texts are encoded by twos, so that one's end meets the other's start."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    encoder, plain = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
     rng = random.Random(1)
-    for _ in range(300):
-        text = "".join(rng.choice([" ", "  ", "\n", "\t", " \n", "a", "Bc", "é", "7", "'s", ".", "<|endoftext|>", " ", " ", "\x1c", "日本"]) for _ in range(rng.randrange(30)))
-        assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    marks = [" ", "  ", "\n", "\t", " \n", "a", "Bc", "é", "7", "'s", ".", "<|endoftext|>", "<", "|>", "\xa0", "\u3000", "\x1c", "\x7f", "日本", ",", "\r"]
+    for _ in range(3000):
+        texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) if rng.random() < 0.95 else None for _ in range(2)]
+        ids, edges = encoder.encode_column(pa.array(texts, pa.string()))
+        for text, a, b in zip(texts, edges, edges[1:], strict=False):
+            assert ids[a:b].tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert encoder.encode("x <|endoftext|> y") == [87, 220, 50256, 331]
+
+
+def test_packing_of_a_text_of_tens_of_megabytes(spark):
+    text = ("lorem ipsum dolor 123, sit\n" * 50 + "x" * 300 + " ") * 14_000
+    assert len(text) > 20_000_000
+    found = packing.token_pieces(table(spark, [(1, text, "en", "s"), (2, "short", "en", "s")])).collect()
+    ids = packing.Encoder(packing.tokenizer_path()).encode(text) + [0]
+    whole = zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert sum(r["length"] for r in found if r["doc_id"] == 1) == len(ids) and whole
+    for r in found:
+        if r["doc_id"] == 1:
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
 
 
 def optimum(items, capacity):
