@@ -22,10 +22,13 @@ from __future__ import annotations
 
 import bisect
 import math
+import sys
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +39,12 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY = 2048
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 600_000
+#: Distinct words whose ids a Python worker remembers.
+REMEMBERED = 800_000
 #: Bytes of text that are encoded together, but for a text that alone has more.
-BYTES_TOGETHER = 4 << 20
+BYTES_TOGETHER = 12 << 20
+#: Rows that Spark hands to Python at once, within the 32 MiB of common.small_batches.
+ROWS_TOGETHER = 4096
 
 
 def tokenizer_path() -> str:
@@ -81,19 +86,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.places = {}
         self.forget()
 
     def forget(self) -> None:
+        """Let go of all words but those that were met in several columns of texts."""
+        old = [w for w, n in zip(self.places, self.met, strict=True) if n > 1][: REMEMBERED // 2] if self.places else []
+        kept = [self.ids[self.starts[p] : self.starts[p] + self.sizes[p]] for p in map(self.places.__getitem__, old)] if old else []
         self.places: dict[str, int] = {}
-        self.ids, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.ids, self.starts, self.sizes, self.met = array("I"), array("q"), array("q"), np.zeros(0, np.uint8)
+        self.remember(old, kept)
 
-    def learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def remember(self, words: list[str], ids: list) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
         self.starts.frombytes((np.cumsum(sizes) - sizes + len(self.ids)).tobytes())
         self.sizes.frombytes(sizes.tobytes())
         self.ids.frombytes(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())).tobytes())
+        self.met = np.r_[self.met, np.zeros(len(words), np.uint8)]
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """32-bit ids of a column's texts, one after the other, and where each text begins and the last ends."""
@@ -109,16 +119,17 @@ class Encoder:
         distinct = words.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.places]
         if new:
-            self.learn(new)
+            self.remember(new, [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
         place = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
-        begins, sizes = np.array(self.starts)[place], np.array(self.sizes)[place]
+        self.met[place] = np.minimum(self.met[place], 254) + 1
+        begins, sizes = np.frombuffer(self.starts, np.int64)[place], np.frombuffer(self.sizes, np.int64)[place]
         nth = words.indices.to_numpy()
         size = sizes[nth]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat(begins[nth] - ends + size, size)
         at += np.arange(total)
-        ids = np.array(self.ids, "<u4")[at] if total else np.empty(0, "<u4")
+        ids = np.frombuffer(self.ids, "<u4")[at] if total else np.empty(0, "<u4")
         return ids, np.r_[0, ends][np.searchsorted(starts, edges)]
 
     def encode(self, text: str) -> list[int]:
@@ -131,6 +142,15 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, min(first, n)), *((s, capacity) for s in range(first, n, capacity))]
 
 
+def worker_encoder(path: str, run_id: str) -> Encoder:
+    """One encoder per worker process for all tasks of one run; what an earlier run remembered is let go. This module is shipped anew with each task, so it is kept outside of it."""
+    kept = sys.modules.setdefault("quillframe_worker_state", ModuleType("quillframe_worker_state")).__dict__.setdefault("encoders", {})
+    if (run_id, path) not in kept:
+        kept.clear()
+        kept[run_id, path] = Encoder(path)
+    return kept[run_id, path]
+
+
 def together(column: pa.Array) -> Iterator[pa.Array]:
     """Slices of a column of texts, BYTES_TOGETHER each, or one text that has more."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
@@ -145,12 +165,14 @@ def together(column: pa.Array) -> Iterator[pa.Array]:
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` for every piece of every row."""
     common.ship(__name__)
+    common.small_batches(docs.sparkSession, ROWS_TOGETHER)
+    run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(path or tokenizer_path()), np.array([end_id], "<u4").tobytes()
+        encoder, end = worker_encoder(path or tokenizer_path(), run_id), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             row = 0
