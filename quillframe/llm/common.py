@@ -11,6 +11,8 @@ import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,25 +27,51 @@ def ship(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+#: Folders of local sessions that name none.
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names; only a local session, which has one host, may do without."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quillframe-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all hosts of the cluster share")
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="quillframe-shared-")
+        folder = _local_folders[context.applicationId]
     return folder.rstrip("/")
 
 
+_collecting: list[list[Workspace]] = []
+
+
+@contextmanager
+def cleared(*kept: Workspace) -> Iterator[None]:
+    """Deletes the workspaces that are made inside when it ends: their results must have been written elsewhere by then."""
+    _collecting.append([])
+    try:
+        yield
+    finally:
+        for ws in _collecting.pop():
+            if ws not in kept:
+                ws.drop("")
+
+
 class Workspace:
     """Written tables of one run in the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        for group in _collecting:
+            group.append(self)
         self.root = f"{shared_folder(spark)}/quillframe/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         """Write ``df`` once and read it back: a stage boundary that survives lost executors."""
         schema = df.schema
-        df.write.parquet(f"{self.root}/{label}")
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{label}")
         del df
         gc.collect()
         return self.load(label, schema)
@@ -55,7 +83,7 @@ class Workspace:
         """Delete written tables that no later job reads, and let Spark clear the shuffles behind them."""
         jvm = self.spark.sparkContext._jvm
         for label in labels:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}".rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         gc.collect()
         jvm.System.gc()
@@ -80,22 +108,56 @@ def screen_bits(n_keys: int) -> int:
     return min(SCREEN_MOST_BITS, max(SCREEN_PAGE, 1 << (SCREEN_BITS_PER_KEY * n_keys - 1).bit_length()))
 
 
-def screened_by(rows: DataFrame, keys: DataFrame, key: str, n_keys: int, most_bits: int = SCREEN_MOST_BITS) -> DataFrame:
-    """``rows`` without most of those whose ``key``, never null, isn't among the ``n_keys`` of ``keys``.
+def marked_by(rows: DataFrame, keys: DataFrame, key: list[str], n_keys: int, most_bits: int = SCREEN_MOST_BITS) -> DataFrame:
+    """``rows`` with ``screen_hit``: true for all whose ``key`` is among the ``n_keys`` of ``keys``, and for few others.
 
     A bit table of the keys' hashes, built by an aggregation and at most
-    ``most_bits`` long, is broadcast, so that wide rows needn't move to be found
-    useless. It never drops a row whose key is there. With more keys than it has room for it lets
-    more rows through; the exact join that must follow then does that work.
+    ``most_bits`` long, is broadcast, so that wide rows needn't move to learn
+    that they have no part in something. Null is a key like any other. With more
+    keys than it has room for it hits more rows; the exact join that must follow
+    for those then does that work.
     """
     bits = min(most_bits, screen_bits(n_keys))
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    place = F.pmod(F.xxhash64(*key), F.lit(bits))
     page, at = F.floor(place / SCREEN_PAGE).cast("long"), F.pmod(place, F.lit(SCREEN_PAGE))
     table = keys.groupBy(page.alias("screen_page")).agg(F.bitmap_construct_agg(at).alias("screen_marks"))
     byte = F.conv(F.hex(F.substring("screen_marks", F.floor(F.col("screen_at") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     marked = F.call_function("getbit", byte, F.pmod(F.col("screen_at"), F.lit(8)).cast("int")) == 1
     placed = rows.withColumns({"screen_page": page, "screen_at": at})
-    return placed.join(F.broadcast(table), "screen_page").filter(marked).select(*rows.columns)
+    hit = F.coalesce(F.when(F.col("screen_marks").isNotNull(), marked), F.lit(False)).alias("screen_hit")
+    return placed.join(F.broadcast(table), "screen_page", "left").select(*rows.columns, hit)
+
+
+def screened_by(rows: DataFrame, keys: DataFrame, key: str | list[str], n_keys: int, most_bits: int = SCREEN_MOST_BITS) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't among the ``n_keys`` of ``keys``; it never drops a row whose key is there."""
+    return marked_by(rows, keys, [key] if isinstance(key, str) else key, n_keys, most_bits).filter("screen_hit").drop("screen_hit")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` whose ``key`` isn't among those of the written table ``gone``; only rows that the bit table hits move."""
+    marked = marked_by(rows, gone, key, gone.count())
+    there = gone.select(*(F.col(c).alias(f"gone_{i}") for i, c in enumerate(key))).hint("shuffle_hash")
+    doubtful = marked.filter("screen_hit")
+    same = [doubtful[c].eqNullSafe(there[f"gone_{i}"]) for i, c in enumerate(key)]
+    return marked.filter("not screen_hit").unionByName(doubtful.join(there, same, "left_anti")).drop("screen_hit")
+
+
+#: A key is hot with more than this share of all rows, so there are at most 1000 of them.
+HOT_SHARE = 1000
+#: Fewer rows than this are no burden to a task.
+HOT_LEAST = 500
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """At most ``HOT_SHARE`` keys of ``counts(key, n)``, one row a key, that hold a large share of ``total`` rows."""
+    return counts.filter(F.col(n) > max(HOT_LEAST, total // HOT_SHARE)).select(key)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, one row a key; rows of ``hot`` keys, of which there is a proven bound, meet theirs by a broadcast and stay where they are."""
+    few = F.broadcast(hot)
+    there = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
+    return there.unionByName(left.join(few, key, "left_anti").join(right.join(few, key, "left_anti"), key, how))
 
 
 def text_or_empty(column: str | Column = "text") -> Column:

@@ -45,7 +45,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.backoff_scores(documents(spark, sf_dir))
+    scores = lm_scoring.backoff_scores(documents(spark, sf_dir))
+    return scores.withColumns({c: F.round(c, 6) for c in ("log10_score", "mean_log10")})
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +117,20 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM m GROUP BY doc_id"""
 
 
+SCORES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS g1, unnest(range(len(ws))) AS i FROM d),
+g AS (SELECT r, i, g1, lag(g1) OVER p || ' ' || g1 AS g2, lag(g1, 2) OVER p || ' ' || lag(g1) OVER p || ' ' || g1 AS g3 FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+o AS (SELECT r, i, count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY r, g1) AS r1,
+  CASE WHEN i >= 1 THEN count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY r, g2) ELSE 0 END AS r2,
+  CASE WHEN i >= 2 THEN count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY r, g3) ELSE 0 END AS r3 FROM g),
+b AS (SELECT *, lag(r1) OVER p AS p1, lag(r2) OVER p AS p2, count(*) OVER (PARTITION BY r) AS n, least(i, 2) AS top FROM o WINDOW p AS (PARTITION BY r ORDER BY i)),
+s AS (SELECT r, CASE WHEN r3 > 0 THEN log10(r3 / p2) WHEN r2 > 0 THEN log10(r2 / p1) + (top - 1) * log10({lm_scoring.BACKOFF})
+  ELSE log10(greatest(r1, {lm_scoring.NOBODY}) / greatest((SELECT count(*) FROM w) - n, 1)) + top * log10({lm_scoring.BACKOFF}) END AS part FROM b),
+t AS (SELECT r, sum(part) AS score FROM s GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(score, 6) AS log10_score, round(score / len(ws), 6) AS mean_log10 FROM d LEFT JOIN t USING (r)"""
+
+
 def _mixing_sql(share: float = 0.5, max_epochs: int = 2) -> str:
     when = " ".join(f"WHEN domain = '{path[0]}' THEN {float(w)}" for path, w in mixing.WEIGHTS.items())
     steps, leaf = [], "domain, lang, source"
@@ -140,4 +155,4 @@ SELECT doc_id, {leaf}, tokens, CAST(coalesce(epochs + CASE WHEN epochs < {max_ep
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": _mixing_sql(), "op1_secret_scan": _secret_sql(), "op2_exact_dedup": COPIES_SQL, "op10_line_dedup": LINES_SQL}
+    return {"op9_source_mixing": _mixing_sql(), "op1_secret_scan": _secret_sql(), "op2_exact_dedup": COPIES_SQL, "op8_lm_scoring": SCORES_SQL, "op10_line_dedup": LINES_SQL}

@@ -7,6 +7,7 @@ import textwrap
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -310,26 +311,43 @@ def test_language_accuracy_and_mixtures(spark):
     assert main == "de" and {x.split(":")[0] for x in known.split(",")} == {"de", "fr"} and share < 1
 
 
-def test_lm_scores(docs, empty):
-    got = sorted((r["doc_id"] or -1, r["n_words"], r["log10_score"]) for r in lm_scoring.backoff_scores(docs).filter("n_words > 0").collect())
-    words = [(i or -1, (t or "").encode().lower().split()) for i, t, _, _ in ROWS]
-    one, two = Counter(w for _, ws in words for w in ws), Counter(p for _, ws in words for p in zip(ws, ws[1:], strict=False))
-    total, expected = sum(one.values()), []
-    for i, ws in words:
-        if not ws:
-            continue
-        o1, o2, score = Counter(ws), Counter(zip(ws, ws[1:], strict=False)), 0.0
-        for k, w in enumerate(ws):
-            pair = (ws[k - 1], w) if k else None
-            if pair and two[pair] > o2[pair]:
-                score += math.log10((two[pair] - o2[pair]) / (one[pair[0]] - o1[pair[0]]))
-            else:
-                score += math.log10(max(one[w] - o1[w], 0.5) / (total - len(ws))) + (math.log10(0.4) if k else 0)
-        expected.append((i, len(ws), score))
-    for a, b in zip(got, sorted(expected), strict=True):
+def brute_scores(texts, order):
+    """Stupid backoff of each text against all others, with counts of lists of words."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    grams = lambda ws, n: Counter(tuple(ws[k : k + n]) for k in range(len(ws) - n + 1))
+    counts = [sum((grams(ws, n) for ws in words), Counter()) for n in range(1, order + 1)]
+    total = sum(map(len, words))
+    for ws in words:
+        own, score = [grams(ws, n) for n in range(1, order + 1)], 0.0
+        rest = lambda g: counts[len(g) - 1][g] - own[len(g) - 1][g]  # noqa: E731, B023
+        for k in range(len(ws)):
+            top = min(k + 1, order)
+            used = next((n for n in range(top, 1, -1) if rest(tuple(ws[k - n + 1 : k + 1])) > 0), 1)
+            gram = tuple(ws[k - used + 1 : k + 1])
+            share = rest(gram) / rest(gram[:-1]) if used > 1 else max(rest(gram), 0.5) / max(total - len(ws), 1)
+            score += math.log10(share) + (top - used) * math.log10(0.4)
+        yield len(ws), score if ws else None
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(docs, empty, order):
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["log10_score"] or 0) for r in lm_scoring.backoff_scores(docs, order).collect())
+    expected = sorted((i or -1, n, score or 0) for (i, *_), (n, score) in zip(ROWS, brute_scores([t for _, t, _, _ in ROWS], order), strict=True))
+    for a, b in zip(got, expected, strict=True):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 * max(1, abs(b[2]))
-    assert lm_scoring.backoff_scores(empty).count() == 0
-    assert lm_scoring.backoff_scores(docs).filter("n_words = 0 and log10_score is null").count() == 2
+    assert lm_scoring.backoff_scores(empty, order).count() == 0
+    assert lm_scoring.backoff_scores(docs, order).filter("n_words = 0 and log10_score is null and mean_log10 is null").count() == 2
+
+
+def test_lm_scores_over_many_batches_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BATCH_WORDS", 150)
+    monkeypatch.setattr(lm_scoring, "BUCKET_GRAMS", 40)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS[:60]) for _ in range(rng.randrange(40))) for _ in range(60)] + [BASE, BASE, NEAR]
+    df = spark.createDataFrame([(f"id {i}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(4)
+    got = {r["doc_id"]: r for r in lm_scoring.backoff_scores(df).collect()}
+    for i, (n, score) in enumerate(brute_scores(texts, 3)):
+        assert got[f"id {i}"]["n_words"] == n and abs((got[f"id {i}"]["log10_score"] or 0) - (score or 0)) < 1e-6
 
 
 def test_mixing(docs, empty, spark):
@@ -375,9 +393,28 @@ def test_lines(docs, empty, spark):
     assert line_dedup.drop_frequent_lines(docs).count() == len(ROWS) and line_dedup.drop_frequent_lines(empty).count() == 0
 
 
-def test_shared_folder_is_the_clusters(spark):
-    assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_shared_folder(spark, monkeypatch):
+    assert common.shared_folder(spark) == (spark.conf.get("spark.checkpoint.dir", None) or common.shared_folder(spark))
     assert BASE != NEAR and len(LONG) > 100_000
+    with common.cleared():
+        ws = common.Workspace(spark, "cleared")
+        ws.save(spark.range(3), "a")
+        assert Path(ws.root).exists()
+    assert not Path(ws.root).exists()
+
+
+def test_rows_without_others_and_hot_joins(spark, monkeypatch):
+    rows = spark.createDataFrame([(None if i == 7 else i, "x" * (i % 3)) for i in range(300)], "doc_id long, text string")
+    gone = rows.filter("doc_id is null or doc_id % 5 = 0").select("doc_id")
+    assert {r["doc_id"] for r in common.without(rows, gone, ["doc_id"]).collect()} == {i for i in range(300) if i % 5 and i != 7}
+    assert common.without(rows, gone.limit(0), ["doc_id"]).count() == 300
+    monkeypatch.setattr(common, "HOT_LEAST", 20)
+    left = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(300)], "k long, v long")
+    right = spark.createDataFrame([(i, -i) for i in range(0, 300, 2)], "k long, w long")
+    hot = common.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", "n", 300)
+    assert [r[0] for r in hot.collect()] == [0]
+    for how in ("inner", "left"):
+        assert sorted(common.join_hot(left, right, "k", hot, how).collect()) == sorted(left.join(right, "k", how).collect(), key=tuple) if how == "inner" else common.join_hot(left, right, "k", hot, how).exceptAll(left.join(right, "k", how)).isEmpty()
 
 
 @pytest.mark.parametrize("most_bits", [common.SCREEN_MOST_BITS, common.SCREEN_PAGE])
