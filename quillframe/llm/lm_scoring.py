@@ -243,6 +243,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     first = range(min(order, 2))
     told = [ws.save(texts.mapInArrow(ask_first(first, buckets), spark_schema(ASKED)).groupBy("part").applyInArrow(tell, spark_schema(TOLD)), "told1")]
+    ws.drop()  # the exchanges behind a written table can go
 
     def home() -> DataFrame:
         out = texts
@@ -252,6 +253,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     for level in range(2, order):
         told.append(ws.save(home().applyInArrow(ask_next(level, buckets), spark_schema(ASKED)).groupBy("part").applyInArrow(tell, spark_schema(TOLD)), f"told{level}"))
+        ws.drop()
     parts = ws.save(home().applyInArrow(score(order, id_type), f"doc_id {name}, n_words long, log10_part double, n_unigrams long"), "parts")
     ws.drop("texts", "told1", *(f"told{level}" for level in range(2, order)))
     whole = F.col("log10_part") - F.col("n_unigrams") * F.log10(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)))
