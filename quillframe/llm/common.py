@@ -80,7 +80,11 @@ class Workspace:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{label}")
 
     def drop(self, *labels: str) -> None:
-        """Delete written tables that no later job reads, and let Spark clear the shuffles behind them."""
+        """Delete written tables that no later job reads, and let Spark clear the shuffles behind them.
+
+        The listeners hold on to the last query until another one ends, so one that does nothing is run.
+        """
+        self.spark.range(1).write.format("noop").mode("overwrite").save()
         jvm = self.spark.sparkContext._jvm
         for label in labels:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}".rstrip("/"))
