@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def met_by_node(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``rows(u, v)`` with the ``m`` of ``least(u, m, n)``; a hub's rows stay where they are."""
+    return common.join_hot(rows, least.select("u", "m"), "u", common.hot_keys(least, "u", "n", total))
+
+
+def large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return met_by_node(both, least, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = met_by_node(down, least, total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -30,6 +35,6 @@ def components(edges: DataFrame, ws: common.Workspace, label: str) -> DataFrame:
         if stamp == state or not stamp[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state, step = stamp, step + 1
-        now = ws.save(small_star(large_star(now)), f"{label}{step}")
+        now = ws.save(small_star(large_star(now, stamp[0]), stamp[0]), f"{label}{step}")
         if step > 1:
             ws.drop(f"{label}{step - 2}")

@@ -125,10 +125,12 @@ def find_copies(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
         positive.join(fresh, "digest").join(frozen.select("digest", "n_bytes", F.col("last_id").alias("old_id"), F.col("copies").alias("old_copies")), ["digest", "n_bytes"]), "pairs"
     )
 
-    # byte checks: only the two representatives' texts move with their pair
+    # byte checks: of all texts, the representatives' move to their pair, and the few others that the screen lets through
     sides = pairs.select("digest", F.explode(F.array(F.struct(F.lit("incoming").alias("batch"), F.col("last_id").alias("id")), F.struct(F.lit("snapshot").alias("batch"), F.col("old_id").alias("id")))).alias("side")).select(
         F.col("digest").alias("pair"), F.col("side.batch").alias("pair_batch"), F.col("side.id").alias("pair_id")
     )
+    ends = sides.select(F.col("pair_id").alias("doc_id"), F.col("pair_batch").alias("batch"))
+    every = common.screened_by(every, ends, ["doc_id", "batch"], 2 * pairs.count())
     texts = (
         every.join(sides.hint("shuffle_hash"), every["doc_id"].eqNullSafe(sides["pair_id"]) & (every["batch"] == sides["pair_batch"]) & (F.unhex(F.sha2(every["text"], 256)) == sides["pair"]))
         .select("pair", "batch", "text")

@@ -13,7 +13,7 @@ training. Predictions read whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0.
 Equal texts get equal results. Rows with a null label train nothing. With no
-labelled row at all every document is ``und``. Repeated rows give one result
+labelled row at all every document is ``und``; ``keep_known`` then keeps none. Repeated rows give one result
 each. Other columns are ignored. An empty table gives no rows.
 """
 
@@ -66,9 +66,14 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     """Languages and log-probabilities ``(SLOTS, languages)`` from ``labelled(doc_id, text, lang)``."""
     common.ship(__name__)
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("key"), "text")
-    # Spark keeps the first ``per_language`` of each task before it shuffles them (a window group limit).
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    chosen = rows.select("doc_id", "lang", "key").withColumn("nth", nth).filter(F.col("nth") <= per_language).drop("nth")
+    # The first ``per_language`` by key, without a task that sees all of a language: rows are counted by 4096 ranges of
+    # the key, which tells the ranges that the first ones are in, and ranked inside their range.
+    keys = rows.select("doc_id", "lang", "key", F.shiftright("key", 52).alias("cell"))
+    cells = keys.groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell")) - F.col("n")
+    wanted = cells.select("lang", "cell", before.alias("before")).filter(F.col("before") < per_language)
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("lang", "cell").orderBy("key", "doc_id"))
+    chosen = keys.join(F.broadcast(wanted), ["lang", "cell"]).withColumn("nth", nth).filter(F.col("nth") <= per_language).select("doc_id", "lang", "key")
     sample = rows.join(F.broadcast(chosen.dropDuplicates()), ["doc_id", "lang", "key"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +143,22 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, lang_set string")
 
 
+def keep_known(docs: DataFrame, langs: list[str], table: np.ndarray, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that have a language with a share of ``least_score`` or more, in one pass, with it as their ``lang``."""
+    common.ship(__name__)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [mixture(t.as_py(), langs, table)[:2] for t in batch.column("text")]
+            known = pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_())
+            predicted = pa.array([lang for lang, _ in found], pa.string())
+            arrays = [predicted.cast(batch.column(c).type) if c == "lang" else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, columns).filter(known)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on the documents that aren't held out, and predict all of ``docs(doc_id, text, lang)``."""
     langs, table = fit(docs.filter(~held_out()))

@@ -8,9 +8,12 @@ parent: sorted by capacity per weight, the saturated ones are a prefix, so
 running sums give the exact level.
 
 Each leaf then runs through seeded epochs: whole epochs while its budget lasts,
-and of the next epoch the longest prefix, in that epoch's own order, that fits.
-Prefix sums are taken in two steps, over buckets of the order and then inside
-the bucket, so a leaf with a third of all rows is never in one task.
+and of the next epoch the prefix of tokens, in that epoch's own order, that is
+left. The document in which the prefix ends counts with its first tokens, so a leaf
+spends its budget to the token, and all leaves together that of the root but
+for the fractions of a token. Prefix sums are taken in two steps, over buckets of
+the order and then inside the bucket. A leaf of n rows has about sqrt(n) buckets,
+so one with a third of all rows is never in one task.
 
 Defined results: null texts have no tokens; null languages and sources are the
 node ``''``. Nodes without a weight have weight 1, those of weight 0 get
@@ -22,6 +25,7 @@ that ``max_epochs`` can give selects everything ``max_epochs`` times.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,11 +35,9 @@ from . import common
 
 LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a leaf whose running sums are taken together, about.
-TOGETHER = 20_000
 #: Production parameters.
 DOMAINS = 4
-WEIGHTS = {("d0",): 4, ("d1",): 3, ("d2",): 2, ("d3",): 1}
+WEIGHTS = {("d0",): 4, ("d1",): 3, ("d2",): 2, ("d3",): 1, ("d0", "en"): 2, ("d1", "en"): 2}
 SEED = 17
 
 
@@ -89,21 +91,22 @@ def epoch_key(seed: int, epoch: Column) -> Column:
 
 
 def mix(docs: DataFrame, share: float = 0.5, max_epochs: int = 2, weights: Mapping[tuple[str, ...], float] | None = None, seed: int = SEED) -> DataFrame:
-    """``doc_id, domain, lang, source, tokens, copies`` for every row of ``docs``.
+    """``doc_id, domain, lang, source, tokens, copies, part_tokens`` for every row of ``docs``.
 
     The root's budget is ``share`` of all tokens. ``copies`` is in how many
-    epochs of its leaf the row is selected, 0 for none.
+    epochs of its leaf the whole row is selected, ``part_tokens`` how many of its
+    first tokens the end of the last prefix takes besides.
     """
     ws = common.Workspace(docs.sparkSession, "mixing")
     rows = ws.save(measured(docs), "rows")
+    total = rows.agg(F.sum("tokens")).first()[0] or 0
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    total = F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * F.lit(float(share)))
-    funded = budgets(leaves.withColumn("total", total), F.col("total"), WEIGHTS if weights is None else weights, max_epochs)
+    funded = budgets(leaves, F.lit(math.floor(total * float(share))), WEIGHTS if weights is None else weights, max_epochs)
     funded = ws.save(
         funded.select(
             *LEVELS,
             F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens")), F.lit(max_epochs))).otherwise(F.lit(max_epochs)).cast("long").alias("epochs"),
-            "budget", F.col("tokens").alias("leaf_tokens"), (F.floor(F.col("n") / TOGETHER) + 1).alias("buckets"),
+            "budget", F.col("tokens").alias("leaf_tokens"), (F.floor(F.sqrt("n")) + 1).alias("buckets"),
         ), "leaves",
     )
     # one row per leaf: the join moves no document when Spark finds the leaves small
@@ -114,5 +117,19 @@ def mix(docs: DataFrame, share: float = 0.5, max_epochs: int = 2, weights: Mappi
     before = sums.select(*LEVELS, "bucket", (F.sum("in_bucket").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("in_bucket")).alias("before"))
     running = Window.partitionBy(*LEVELS, "bucket").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.withColumn("inside", F.sum("tokens").over(running)).join(before, [*LEVELS, "bucket"])
-    partial = (F.col("leaf_tokens") > 0) & (F.col("epochs") < max_epochs) & (F.col("rest") > 0) & (F.col("before") + F.col("inside") <= F.col("rest"))
-    return placed.select("doc_id", *LEVELS, "tokens", (F.when(F.col("leaf_tokens") > 0, F.col("epochs")).otherwise(0) + partial.cast("long")).alias("copies"))
+    ends = F.col("before") + F.col("inside")
+    open_ = (F.col("leaf_tokens") > 0) & (F.col("epochs") < max_epochs) & (F.col("rest") > 0)
+    part = F.when(open_ & (ends > F.col("rest")), F.greatest(F.lit(0), F.col("rest") - ends + F.col("tokens"))).otherwise(0)
+    copies = F.when(F.col("leaf_tokens") > 0, F.col("epochs")).otherwise(0) + (open_ & (ends <= F.col("rest"))).cast("long")
+    return placed.select("doc_id", *LEVELS, "tokens", copies.alias("copies"), part.cast("long").alias("part_tokens"))
+
+
+def selected(mixed: DataFrame) -> DataFrame:
+    """``domain, lang, source, tokens, selected`` of each leaf of what ``mix`` returned: what it holds and what it gives."""
+    given = F.col("tokens") * F.col("copies") + F.col("part_tokens")
+    return mixed.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.sum(given).alias("selected"))
+
+
+def kept_ids(mixed: DataFrame) -> DataFrame:
+    """Ids whose row is selected whole, or by half or more where a leaf's prefix ends."""
+    return mixed.filter((F.col("copies") > 0) | ((F.col("part_tokens") > 0) & (F.col("part_tokens") * 2 >= F.col("tokens")))).select("doc_id").distinct()

@@ -16,8 +16,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two increments over one ledger: what the first has scanned, the second doesn't scan again."""
     ledger = common.Workspace(spark, "secret_ledger").root
-    return secret_scan.report(secret_scan.scan_versions(documents(spark, sf_dir), "doc_id", ledger))
+    docs = documents(spark, sf_dir)
+    first, second = (docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == i) for i in (0, 1))
+    found = secret_scan.scan_versions(first, "doc_id", ledger)
+    return secret_scan.report(found.unionByName(secret_scan.scan_versions(second, "doc_id", ledger)))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +136,15 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(score, 6) AS log10_scor
 
 
 def _mixing_sql(share: float = 0.5, max_epochs: int = 2) -> str:
-    when = " ".join(f"WHEN domain = '{path[0]}' THEN {float(w)}" for path, w in mixing.WEIGHTS.items())
+    def weight(depth: int) -> str:
+        tests = [(" AND ".join(f"{c} = '{v}'" for c, v in zip(mixing.LEVELS, path, strict=False)), w) for path, w in mixing.WEIGHTS.items() if len(path) == depth]
+        return "CASE " + " ".join(f"WHEN {test} THEN {float(w)}" for test, w in tests) + " ELSE 1.0 END" if tests else "1.0"
+
     steps, leaf = [], "domain, lang, source"
     for depth in (1, 2, 3):
         node = ", ".join(mixing.LEVELS[:depth])
         part = f"PARTITION BY {', '.join(mixing.LEVELS[: depth - 1])}" if depth > 1 else ""
-        w = f"CASE {when} ELSE 1.0 END" if depth == 1 else "1.0"
+        w = weight(depth)
         steps.append(f"""n{depth} AS (SELECT {node}, max(given) AS given, CAST(sum(tokens) * {max_epochs} AS DOUBLE) AS cap, CAST({w} AS DOUBLE) AS w FROM l{depth - 1} GROUP BY {node}),
 s{depth} AS (SELECT *, cap * sum(w) OVER ({part} ORDER BY cap / w, {mixing.LEVELS[depth - 1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= w * (given - coalesce(sum(cap) OVER ({part} ORDER BY cap / w, {mixing.LEVELS[depth - 1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS filled FROM n{depth}),
 b{depth} AS (SELECT {node}, CASE WHEN filled THEN cap ELSE (given - coalesce(sum(cap) FILTER (WHERE filled) OVER ({part}), 0)) / sum(w) FILTER (WHERE NOT filled) OVER ({part}) * w END AS share FROM s{depth}),
@@ -151,7 +158,8 @@ l0 AS (SELECT {leaf}, sum(tokens) AS tokens, floor((SELECT sum(tokens) FROM d) *
 f AS (SELECT {leaf}, CAST(tokens AS BIGINT) AS lt, CAST(floor(given) AS BIGINT) AS budget, least(CAST(floor(given) AS BIGINT) // CAST(tokens AS BIGINT), {max_epochs}) AS epochs FROM l3 WHERE tokens > 0),
 k AS (SELECT d.*, f.lt, f.budget, f.epochs, CAST('0x' || substr(md5('{mixing.SEED}:' || f.epochs || ':' || d.doc_id), 1, 15) AS BIGINT) AS key FROM d LEFT JOIN f USING ({leaf})),
 c AS (SELECT *, sum(tokens) OVER (PARTITION BY {leaf} ORDER BY key, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM k)
-SELECT doc_id, {leaf}, tokens, CAST(coalesce(epochs + CASE WHEN epochs < {max_epochs} AND budget - epochs * lt > 0 AND upto <= budget - epochs * lt THEN 1 ELSE 0 END, 0) AS BIGINT) AS copies FROM c"""
+SELECT doc_id, {leaf}, tokens, CAST(coalesce(epochs + CASE WHEN epochs < {max_epochs} AND budget - epochs * lt > 0 AND upto <= budget - epochs * lt THEN 1 ELSE 0 END, 0) AS BIGINT) AS copies,
+  CAST(coalesce(CASE WHEN epochs < {max_epochs} AND budget - epochs * lt > 0 AND upto > budget - epochs * lt THEN greatest(0, budget - epochs * lt - upto + tokens) ELSE 0 END, 0) AS BIGINT) AS part_tokens FROM c"""
 
 
 def oracle_sql() -> dict[str, str]:

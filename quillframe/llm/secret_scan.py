@@ -11,7 +11,9 @@ from DataFrame functions: matches and the pieces between them come from
 Defined results: null texts are empty and hold nothing. Repeated rows and copies
 share one ledger entry and each get the findings. Null keys are a key like any
 other. Other columns are ignored. An empty table gives no rows and an empty
-ledger entry. Texts are scanned whole. Spans may overlap between rules; within
+ledger entry. Texts are scanned whole. A finding keeps the name and version of
+its rule: when a rule changes, blobs are scanned for the new version and what
+older ones found no longer counts. Spans may overlap between rules; within
 a rule they are the leftmost non-overlapping ones.
 """
 
@@ -58,7 +60,7 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE_RULES + MORE_RULES
-LEDGER_SCHEMA = "blob string, rules array<string>, findings array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+LEDGER_SCHEMA = "blob string, rules array<string>, findings array<struct<start:bigint,rule:string,end:bigint>>"
 
 
 def running_sums(values: Column, block: int = 128) -> Column:
@@ -75,7 +77,7 @@ def running_sums(values: Column, block: int = 128) -> Column:
     )
 
 
-def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
+def rule_spans(text: Column, rule: Rule) -> Column:
     """All spans of one rule in code points, end exclusive."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -87,15 +89,15 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     found = F.filter(F.arrays_zip(ends.alias("stop"), sizes.alias("size"), value.alias("value")), lambda x: F.length(x["value"]) >= rule.at_least)
     spans = F.transform(
         found,
-        lambda x: F.struct((x["stop"] - x["size"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), x["stop"].alias("end")),
+        lambda x: F.struct((x["stop"] - x["size"]).alias("start"), F.lit(rule.name).alias("rule"), x["stop"].alias("end")),
     )
     return F.when(text.rlike(rule.pattern), spans)
 
 
 def scan(text: Column, todo: Column, rules: tuple[Rule, ...]) -> Column:
     """The findings of those ``rules`` whose names are in ``todo``."""
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    parts = [F.when(F.array_contains(todo, r.name), rule_spans(text, r, i)) for i, r in enumerate(rules)]
+    none = F.array().cast("array<struct<start:bigint,rule:string,end:bigint>>")
+    parts = [F.when(F.array_contains(todo, r.name), rule_spans(text, r)) for r in rules]
     return F.flatten(F.array(*(F.coalesce(p, none) for p in parts)))
 
 
@@ -110,37 +112,42 @@ def scan_versions(versions: DataFrame, key: str, ledger_path: str, rules: tuple[
     """Scan what the ledger lacks, append it, and return ``key, blob, findings`` for every row.
 
     ``versions`` has one row per version of a path, ``key`` naming it, with its
-    whole ``text``. ``findings`` is sorted by start, then rule.
+    whole ``text``. ``findings`` are those of the current ``rules``, by name and
+    version, sorted by start, then rule.
     """
     spark = versions.sparkSession
     ws = common.Workspace(spark, "secret_scan")
-    rows = versions.select(F.col(key).alias("key"), common.text_or_empty().alias("text"))
-    paths = ws.save(rows.select("key", F.sha2("text", 256).alias("blob")), "paths")
+    rows = versions.select(F.col(key).alias("key"), common.text_or_empty().alias("text")).select("*", F.sha2("text", 256).alias("blob"))
+    paths = ws.save(rows.select("key", "blob"), "paths")
     names = F.array(*(F.lit(r.name) for r in rules))
-    seen = read_ledger(spark, ledger_path).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-    unseen = (
-        paths.groupBy("blob")
-        .agg(F.min("key").alias("first_key"))
-        .join(seen, "blob", "left")
-        .select("blob", "first_key", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
-        .filter(F.size("todo") > 0)
-    )
-    unseen = ws.save(unseen, "unseen")
-    chosen = rows.select("*", F.sha2("text", 256).alias("text_blob"))
-    chosen = chosen.join(unseen.hint("shuffle_hash"), chosen["key"].eqNullSafe(unseen["first_key"]) & (chosen["text_blob"] == unseen["blob"]))
-    scanned = chosen.select("blob", F.col("todo").alias("rules"), scan(F.col("text"), F.col("todo"), rules).alias("findings"))
+    blobs = ws.save(paths.groupBy("blob").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n")), "blobs")
+    n_paths, n_blobs = paths.count(), blobs.count()
+    # of the ledger only the entries of this increment's blobs move, whatever else it holds
+    seen = common.screened_by(read_ledger(spark, ledger_path).select("blob", "rules"), blobs, "blob", n_blobs)
+    seen = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+    todo = F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))
+    heads = ws.save(blobs.join(seen, "blob", "left").select("blob", "first_key", "n", todo.alias("todo"), F.col("seen").isNull().alias("new")), "heads")
+    hot = common.hot_keys(heads, "blob", "n", n_paths)
+    # a new blob's first path is scanned where it lies; what is marked as another row meets the blobs that have something to do
+    others = common.join_hot(paths, heads, "blob", hot).filter(~(F.col("new") & F.col("key").eqNullSafe(F.col("first_key")))).select("key", "blob")
+    others = ws.save(others, "others")
+    marked = common.marked_by(rows, others, ["key", "blob"], others.count())
+    first = marked.filter("not screen_hit").select("blob", names.alias("todo"), "text")
+    work = heads.filter(F.size("todo") > 0).select(F.col("blob").alias("todo_blob"), "first_key", "todo").hint("shuffle_hash")
+    doubtful = marked.filter("screen_hit")
+    doubtful = doubtful.join(work, doubtful["key"].eqNullSafe(work["first_key"]) & (doubtful["blob"] == work["todo_blob"])).select("blob", "todo", "text")
+    scanned = first.unionByName(doubtful).select("blob", F.col("todo").alias("rules"), scan(F.col("text"), F.col("todo"), rules).alias("findings"))
     # a row that is repeated under the same key was scanned twice
     scanned.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("findings").alias("findings")).write.mode("append").parquet(ledger_path)
-    ws.drop("unseen")
-    current = F.filter(F.flatten(F.collect_list("findings")), lambda x: x["kind"].isin([r.kind for r in rules]))
-    found = (
-        read_ledger(spark, ledger_path)
-        .filter(F.size("findings") > 0)
-        .groupBy("blob")
-        .agg(F.array_sort(F.array_distinct(current)).alias("findings"))
-    )
+    ws.drop("others")
+    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    current = F.filter(F.flatten(F.collect_list("findings")), lambda x: F.array_contains(names, x["rule"]))
+    rank = lambda x: F.array_position(names, x["rule"]).cast("int")
+    ranked = F.transform(current, lambda x: F.struct(x["start"].alias("start"), (rank(x) - 1).alias("rank"), F.element_at(kinds, rank(x)).alias("kind"), x["end"].alias("end")))
+    found = common.screened_by(read_ledger(spark, ledger_path).filter(F.size("findings") > 0), blobs, "blob", n_blobs)
+    found = ws.save(found.groupBy("blob").agg(F.array_sort(F.array_distinct(ranked)).alias("findings")), "found")
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    return paths.join(found, "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("findings", none).alias("findings"))
+    return common.join_hot(paths, found, "blob", hot, "left").select(F.col("key").alias(key), "blob", F.coalesce("findings", none).alias("findings"))
 
 
 def span_list(findings: Column) -> Column:
