@@ -21,13 +21,19 @@ must meet. The join uses that several times:
    They must pass size and position bounds and meet under all three orders
    before their sets are intersected.
 
+6. *Counts.* For the number of links of each document, the representatives of
+   a component meet block by block, under all three orders and then in full, in
+   tasks of bounded size that count and make no row per pair.
+
 Nothing is capped: step 5 looks at every pair that could still link two
-components, and with ``all_links`` at every pair that could link at all.
+components, step 6 at every pair within one, and with ``all_links`` step 5 at
+every pair that could link at all.
 
 Defined results: null texts and texts without a word have an empty set and link
 with nothing, not even each other. Fewer words than a shingle are one shingle.
 Rows that repeat an id are one document, for which the row with most shingles
-stands; rows without an id are likewise one document. Other columns are ignored.
+stands; rows without an id are likewise one document. Ids may be of any type with
+an order. Other columns are ignored.
 An empty table gives no rows. Texts are read whole.
 """
 
@@ -246,23 +252,29 @@ def prefix_size() -> Column:
     return F.size("tokens") - least_overlap(F.col("n")) + 1
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs(u, v)`` that meet under all orders and reach the similarity."""
-    facts = lambda side, end: sets.select(F.col("doc_id").alias(end), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "tokens", "second", "third")), F.slice("tokens", F.lit(1), prefix_size()).alias(f"first_{side}"))
-    both = pairs.join(facts("a", "u"), "u").join(facts("b", "v"), "v")
-    meets = F.arrays_overlap("first_a", "first_b") & F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")
+def similar_enough(both: DataFrame) -> DataFrame:
     overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return both.filter(meets).filter(overlap * 180 >= (F.col("n_a") + F.col("n_b")) * 80).select("u", "v")
+    return both.filter(overlap * 180 >= (F.col("n_a") + F.col("n_b")) * 80).select("u", "v")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, ws: common.Workspace, label: str) -> DataFrame:
+    """Those of ``pairs(u, v)`` that meet under all orders and reach the similarity: prefixes move first, and sets only to pairs that met."""
+    first = F.slice("tokens", F.lit(1), prefix_size())
+    short = lambda side, end: sets.select(F.col("doc_id").alias(end), first.alias(f"first_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("second", "third")))
+    whole = lambda side, end: sets.select(F.col("doc_id").alias(end), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "tokens")))
+    meets = F.arrays_overlap("first_a", "first_b") & F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")
+    met = ws.save(pairs.join(short("a", "u"), "u").join(short("b", "v"), "v").filter(meets).select("u", "v"), label)
+    return similar_enough(met.join(whole("a", "u"), "u").join(whole("b", "v"), "v"))
 
 
 def stars(sets: DataFrame, pivots: int = 3) -> DataFrame:
     """``u, v``: each document with the pivots that most of its prefix tokens name."""
     one = lambda order, tokens: sets.select("doc_id", "n", F.size("tokens").alias("common"), F.lit(order).alias("order"), F.explode(tokens).alias("token"))
     entries = one(0, F.slice("tokens", F.lit(1), prefix_size())).unionByName(one(1, F.col("second"))).unionByName(one(2, F.col("third")))
-    best = entries.groupBy("order", "token").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("minus"), "n", "common")).alias("pivot"))
-    named = entries.join(best, ["order", "token"]).filter(F.col("doc_id") != -F.col("pivot.minus"))
+    best = entries.groupBy("order", "token").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), F.bitwise_not("doc_id").alias("minus"), "n", "common")).alias("pivot"))
+    named = entries.join(best, ["order", "token"]).filter(F.col("doc_id") != F.bitwise_not("pivot.minus"))
     fits = (F.least("common", "pivot.common") * 9 >= (F.col("n") + F.col("pivot.n")) * 4)
-    votes = named.filter(fits).groupBy("doc_id", (-F.col("pivot.minus")).alias("v")).agg(F.count(F.lit(1)).alias("votes"))
+    votes = named.filter(fits).groupBy("doc_id", F.bitwise_not("pivot.minus").alias("v")).agg(F.count(F.lit(1)).alias("votes"))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("votes"), "v"))
     return votes.withColumn("nth", nth).filter(F.col("nth") <= pivots).select(F.col("doc_id").alias("u"), "v")
 
@@ -287,41 +299,163 @@ def crossing(sets: DataFrame, parts: DataFrame | None) -> DataFrame:
     return pairs.select(F.greatest("doc_id_a", "doc_id_b").alias("u"), F.least("doc_id_a", "doc_id_b").alias("v")).distinct()
 
 
+#: Representatives of a component that are held against each other, or another so many, in one task.
+LINK_BLOCK = 512
+#: Tokens of which incidences are multiplied at a time.
+TOKEN_BLOCK = 4096
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of ``a`` has in common with each of ``b``."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    tokens = [np.concatenate(x) for x in (a, b)]
+    shared = np.intersect1d(*tokens)
+    marks = []
+    for sets, own in zip((a, b), tokens, strict=True):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(shared, own)
+        held = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == own) if len(shared) else np.empty(0, np.int64)
+        held = held[np.argsort(at[held], kind="stable")]
+        marks.append((at[held], row[held]))
+    for low in range(0, len(shared), TOKEN_BLOCK):
+        planes = []
+        for (at, row), sets in zip(marks, (a, b), strict=True):
+            x, y = np.searchsorted(at, [low, low + TOKEN_BLOCK])
+            plane = np.zeros((len(sets), TOKEN_BLOCK), np.float32)
+            plane[row[x:y], at[x:y] - low] = 1
+            planes.append(plane)
+        out += planes[0] @ planes[1].T
+    return out
+
+
+def block_links(table: pa.Table) -> pa.Table:
+    """Per representative of two blocks of a component, or of one: the documents in classes of the other block that it is similar to.
+
+    A pair must meet under all three orders and pass the size bound before its overlap is asked for.
+    """
+    rows = table.to_pylist()
+    low = rows[0]["low"]
+    sides = [[r for r in rows if r["block"] == low], [r for r in rows if r["block"] != low]]
+    twice = rows[0]["low"] != rows[0]["high"]
+    a, b = (sides if twice else (sides[0], sides[0]))
+    if not a or not b:
+        return pa.table([pa.array([], pa.int64())] * 2, schema=LINKED)
+    arrays = lambda side, c: [np.array(r[c], np.int64) for r in side]
+    first = lambda side: [np.array(r["tokens"][: len(r["tokens"]) - least_overlap(r["n"]) + 1], np.int64) for r in side]
+    n = [np.array([r["n"] for r in side], np.int64) for side in (a, b)]
+    held = [np.array([len(r["tokens"]) for r in side], np.int64) for side in (a, b)]
+    both = n[0][:, None] + n[1][None, :]
+    may = np.minimum(held[0][:, None], held[1][None, :]) * 9 >= both * 4
+    if not twice:
+        np.fill_diagonal(may, False)
+    for c in (first, lambda side: arrays(side, "second"), lambda side: arrays(side, "third")):
+        if may.any():
+            may &= overlaps(c(a), c(b)) > 0
+    if may.any():
+        may &= overlaps(arrays(a, "tokens"), arrays(b, "tokens")).astype(np.int64) * 180 >= both * 80
+    members = [np.array([r["members"] for r in side], np.int64) for side in (a, b)]
+    ids, linked = [r["doc_id"] for r in a], may @ members[1]
+    if twice:
+        ids, linked = ids + [r["doc_id"] for r in b], np.r_[linked, may.T @ members[0]]
+    return pa.table([pa.array(ids, pa.int64()), pa.array(linked, pa.int64())], schema=LINKED)
+
+
+LINKED = pa.schema([("doc_id", pa.int64()), ("linked", pa.int64())])
+
+
+def count_links(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """``node, linked``: how many documents of other classes each representative of ``placed(class_id, part, members)`` is similar to.
+
+    All links are within components. A component's representatives are dealt into
+    blocks, and each two of its blocks meet in a task of bounded size, which
+    counts and makes no row per pair.
+    """
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # components of one class have no link to another; those of several are few
+    nodes = placed.join(sizes, "part").select(F.col("class_id").alias("doc_id"), "part", "members", F.ceil(F.col("m") / LINK_BLOCK).alias("blocks"))
+    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = sets.join(nodes, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("doc_id", "n", "tokens", "second", "third", "members", "block", "part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    counted = dealt.groupBy("part", "low", "high").applyInArrow(block_links, spark_schema(LINKED))
+    return counted.groupBy(F.col("doc_id").alias("node")).agg(F.sum("linked").alias("linked"))
+
+
+#: Bytes of text for each bucket that tokens are dealt into, about.
+BUCKET_BYTES = 16 << 20
+
+
+def numbered(docs: DataFrame, ws: common.Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with whole numbers for ids, and a table that takes them back; ids that are plain whole numbers already stay, without one.
+
+    Numbers follow the order of the ids, so that the smallest of some is the same. The lowest two longs mean other things here.
+    """
+    texts = docs.select("doc_id", "text")
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        texts = texts.withColumn("doc_id", F.col("doc_id").cast("long"))
+        least = texts.agg(F.min("doc_id")).first()[0]
+        if least is None or least > NO_ID + 1:
+            return texts, None
+    order = texts.select("doc_id").filter("doc_id is not null").distinct().orderBy("doc_id")
+    names = ws.save(order.select(F.col("doc_id").alias("name"), F.monotonically_increasing_id().alias("number")), "names")
+    return texts.join(names, texts["doc_id"] == names["name"], "left").select(F.col("number").alias("doc_id"), "text"), names
+
+
+def named(found: DataFrame, names: DataFrame | None) -> DataFrame:
+    if names is None:
+        return found
+    for c in ("doc_id", "class_id", "component_id"):
+        own = names.select(F.col("name").alias(f"{c}_name"), F.col("number").alias(f"{c}_number"))
+        found = found.join(own, found[c] == own[f"{c}_number"], "left").withColumn(c, F.col(f"{c}_name")).drop(f"{c}_name", f"{c}_number")
+    return found
+
+
 def jaccard_classes(docs: DataFrame, all_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents ``doc_id, n_shingles, class_id, component_id``, and the verified links ``u, v`` between class representatives.
 
     ``class_id`` is the smallest id with the same set. Links are those that the
-    components needed, or all there are with ``all_links``.
+    components needed, or all there are with ``all_links``; they are between the
+    numbers of ``numbered`` where ids aren't whole numbers.
     """
+    found, links, _, _, names = joined_classes(docs, all_links)
+    return named(found, names), links
+
+
+def joined_classes(docs: DataFrame, all_links: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:
     spark = docs.sparkSession
     common.ship(__name__)
     common.small_batches(spark)
     ws = common.Workspace(spark, "ngram_join")
-    buckets = common.partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts, names = numbered(docs, ws)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # what a task holds is a bucket, whose size doesn't grow with the corpus
+    buckets = max(common.partitions(spark), -(-size // BUCKET_BYTES))
 
     packed = texts.mapInArrow(show(buckets), spark_schema(SHOWN)).groupBy("bucket").applyInArrow(meet(buckets), spark_schema(MET))
     info = ws.save(packed.groupBy("home").applyInArrow(screened, spark_schema(SCREENED)), "info")
-    classes = ws.save(info.filter("n > 0").groupBy("n", "sign").agg(F.min("doc_id").alias("class_id"), F.max("met").alias("met")), "classes")
+    del packed
+    ws.drop()
+    classes = info.filter("n > 0").groupBy("n", "sign").agg(F.min("doc_id").alias("class_id"), F.max("met").alias("met"), F.count(F.lit(1)).alias("members"))
+    classes = ws.save(classes, "classes")
     # a partner has at least 0.8 n tokens, and shows as many common ones as its own size promises
     needed = 1 + F.floor(least_overlap(F.col("n")) * 3 / 10)
     chosen = ws.save(classes.filter(F.col("met") >= needed).select(F.col("class_id").alias("doc_id"), "sign"), "chosen")
 
-    named = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     # few texts are chosen, so most needn't move to meet the list
-    named = common.screened_by(named, chosen, "doc_id", chosen.count())
-    whole = named.join(chosen, "doc_id").select("doc_id", "text", "sign").mapInArrow(unfold(buckets), spark_schema(WHOLE))
+    few = common.screened_by(texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), chosen, "doc_id", chosen.count())
+    whole = few.join(chosen, "doc_id").select("doc_id", "text", "sign").mapInArrow(unfold(buckets), spark_schema(WHOLE))
     counted = whole.groupBy("bucket").applyInArrow(rarity(buckets), spark_schema(COMMON))
     sets = ws.save(counted.groupBy("home").applyInArrow(assemble, spark_schema(SETS)), "sets")
+    del few, whole, counted
     ws.drop("chosen")
 
     if all_links:
-        links = ws.save(verified(crossing(sets, None), sets), "links")
+        links = ws.save(verified(crossing(sets, None), sets, ws, "met"), "links")
         parts = components(links, ws, "parts")
     else:
-        near = ws.save(verified(stars(sets), sets), "near")
+        near = ws.save(verified(stars(sets), sets, ws, "met_stars"), "near")
         first = ws.save(components(near, ws, "stars"), "first")
-        far = ws.save(verified(crossing(sets, first), sets), "far")
+        far = ws.save(verified(crossing(sets, first), sets, ws, "met_rest"), "far")
+        ws.drop()
         links = near.unionByName(far)
         root = lambda end: F.coalesce(F.col(f"{end}.root"), F.col(f"far.{end}"))
         joined = far.alias("far").join(first.alias("u"), F.col("far.u") == F.col("u.node"), "left").join(first.alias("v"), F.col("far.v") == F.col("v.node"), "left")
@@ -329,24 +463,33 @@ def jaccard_classes(docs: DataFrame, all_links: bool = False) -> tuple[DataFrame
         top = second.select(F.col("node").alias("mid"), F.col("root").alias("top"))
         moved = first.join(top, first["root"] == top["mid"], "left").select("node", F.coalesce("top", "root").alias("root"))
         parts = ws.save(moved.unionByName(second).groupBy("node").agg(F.min("root").alias("root")), "parts")
-    placed = classes.join(parts, classes["class_id"] == parts["node"], "left").select("n", "sign", "class_id", F.coalesce("root", "class_id").alias("part"))
+    placed = classes.join(parts, classes["class_id"] == parts["node"], "left").select("n", "sign", "class_id", "members", F.coalesce("root", "class_id").alias("part"))
     placed = ws.save(placed, "placed")
+    ws.drop()
     id_or_null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    out = info.join(placed, ["n", "sign"], "left").select(
-        id_or_null("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("part", "doc_id").alias("component_id")
+    # a class is hot where a third of all documents are copies of one text
+    hot = common.hot_keys(placed.select(F.struct("n", "sign").alias("key"), "members"), "key", "members", info.count())
+    own = placed.select(F.struct("n", "sign").alias("key"), "class_id", "part")
+    out = common.join_hot(info.select("doc_id", F.struct("n", "sign").alias("key")), own, "key", hot, "left").select(
+        id_or_null("doc_id").alias("doc_id"), F.col("key.n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("part", "doc_id").alias("component_id")
     )
-    return out.withColumns({c: id_or_null(c) for c in ("class_id", "component_id")}), links
+    return out.withColumns({c: id_or_null(c) for c in ("class_id", "component_id")}), links, sets, placed, names
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
-    """Documents as by ``jaccard_classes`` with all links, and ``n_links``: how many other documents each is similar to.
+    """Documents as by ``jaccard_classes``, and ``n_links``: how many other documents each is similar to.
 
-    Counted over classes: the others of the own class, and all of each class linked with it.
+    Counted over classes: the others of the own class, and all of each class
+    linked with it. Every link between different texts counts, in whatever
+    component; none is made a row.
     """
-    found, links = jaccard_classes(docs, all_links=True)
-    found = found.withColumn("node", F.coalesce("class_id", F.lit(NO_ID)))
-    sizes = found.filter("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("members"))
-    ends = links.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("node"), F.col("u").alias("other")))
-    beside = ends.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("members").alias("beside"))
-    counted = sizes.join(beside, "node", "left").select("node", (F.col("members") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
-    return found.join(counted, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).drop("node")
+    found, _, sets, placed, names = joined_classes(docs, all_links=False)
+    linked = count_links(sets, placed)
+    placed = placed.join(linked, placed["class_id"] == linked["node"], "left")
+    counts = placed.select(F.col("class_id").alias("class"), (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"), "members")
+    ws = common.Workspace(docs.sparkSession, "ngram_links")
+    counts, total = ws.save(counts, "links"), placed.agg(F.sum("members")).first()[0] or 0
+    hot = common.hot_keys(counts, "class", "members", total)
+    keyed = found.withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", F.lit(NO_ID))))
+    out = common.join_hot(keyed, counts.select("class", "n_links"), "class", hot, "left")
+    return named(out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))).drop("class"), names)

@@ -153,7 +153,8 @@ def brute_components(rows):
     for a, b in combinations(sets, 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
             a, b = find(a), find(b)
-            root[max(a, b, key=lambda i: -1 if i is None else i)] = min(a, b, key=lambda i: -1 if i is None else i)
+            first, last = (a, b) if a is None or (b is not None and a < b) else (b, a)
+            root[last] = first
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
@@ -203,6 +204,30 @@ def test_every_link_of_op5_is_counted(spark, tmp_path):
     assert {r["doc_id"]: r["n_links"] for r in queries.op5_ngram_jaccard_join(spark, str(tmp_path)).collect()} == expected
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_links_are_counted_in_blocks(spark, monkeypatch, block):
+    """Several components, whose blocks meet one by one, against all pairs; ids are strings, and the lowest longs."""
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "TOKEN_BLOCK", 50)
+    rng, texts = random.Random(13), []
+    for _ in range(3):
+        base = [rng.choice(WORDS) for _ in range(rng.randrange(40, 160))]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(5)}"
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[5], "few words", "few words", ""]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (t.split() for t in texts)]
+    links = [sum(bool(a and b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    for kind, name in (("string", lambda i: f"d{i:03}"), ("long", lambda i: i - 2**63)):
+        df = spark.createDataFrame([(name(i), t) for i, t in enumerate(texts)], f"doc_id {kind}, text string").repartition(3)
+        got = {r["doc_id"]: r for r in ngram_join.linked_documents(df).collect()}
+        assert [got[name(i)]["n_links"] for i in range(len(texts))] == links
+        roots = brute_components([(name(i), t, None, None) for i, t in enumerate(texts)])
+        assert all((got[i]["n_shingles"], got[i]["component_id"]) == roots[i] for i in roots)
+
+
 def check_packing(found, ids, capacity):
     cover = Counter()
     sequences = {}
@@ -303,6 +328,69 @@ def test_language(docs, empty, spark):
         assert 0 <= r["score"] <= 1
 
 
+def brute_mixture(text, langs, model):
+    """Main language and its share: sums over words and EM in plain Python."""
+    lowered = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    words = [[math.fsum(float(model[s, k]) for s in language_id.trigrams(w)[0]) for k in range(len(langs))] for w in lowered.split(" ") if w]
+    if not words or not langs:
+        return "und", 0.0
+
+    def em(chosen):
+        weight = [1 / len(chosen)] * len(chosen)
+        for _ in range(language_id.ROUNDS):
+            sums = [0.0] * len(chosen)
+            for w in words:
+                peak = max(w[k] for k in chosen)
+                odds = [math.exp(w[k] - peak) * p for k, p in zip(chosen, weight, strict=True)]
+                for j, x in enumerate(odds):
+                    sums[j] += x / sum(odds)
+            weight = [x / len(words) for x in sums]
+        value = 0.0
+        for w in words:
+            peak = max(w[k] for k in chosen)
+            value += peak + math.log(sum(math.exp(w[k] - peak) * p for k, p in zip(chosen, weight, strict=True)))
+        return weight, value
+
+    chosen = [max(range(len(langs)), key=lambda k: (sum(w[k] for w in words), -k))]
+    weight, best = [1.0], sum(w[chosen[0]] for w in words)
+    cost = language_id.PENALTY + math.log(len(words))
+    while len(chosen) < len(langs):
+        inside = [max(w[k] for k in chosen) for w in words]
+        gain, k = max((sum(max(0.0, w[k] - i) for w, i in zip(words, inside, strict=True)), -k) for k in range(len(langs)) if k not in chosen)
+        if gain <= cost:
+            break
+        grown, value = em([*chosen, -k])
+        if value - best <= cost:
+            break
+        chosen, weight, best = [*chosen, -k], grown, value
+    share, main = max((p, -k) for p, k in zip(weight, chosen, strict=True))
+    return langs[-main], min(1.0, share)
+
+
+def test_language_mixtures_by_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    langs, model = language_id.fit(df.filter(~language_id.held_out()))
+    texts = [r["text"] for r in df.collect()]
+    texts += [a + "\n" + b for a, b in zip(texts[::7], texts[3::7], strict=False)] + [None, "", "12 !", "é"]
+    for text in texts:
+        main, share, _ = language_id.mixture(text, langs, model)
+        expected = brute_mixture(text, langs, model)
+        assert main == expected[0] and abs(share - expected[1]) < 1e-6
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
+    assert language_id.keep_known(df, [], np.zeros((language_id.SLOTS, 0), np.float32)).count() == 0
+
+
+def test_first_rows_of_a_language(spark):
+    """The bounded sample is that of the smallest keys, whatever ranges they fall in."""
+    rows = [(i, "a", ("en", "de")[i % 3 == 0], "s") for i in range(5000)]
+    df = table(spark, rows).withColumn("text", F.concat(F.lit("w"), F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij")))
+    first = df.withColumn("key", F.xxhash64("doc_id", F.lit(7))).orderBy("key").filter("lang = 'de'").limit(50)
+    slots = {int(s) for r in first.collect() for s in language_id.trigrams(r["text"])[0]}
+    langs, model = language_id.fit(df, 50)
+    assert langs == ["de", "en"] and set(np.flatnonzero(model[:, 0] > model[:, 0].min()).tolist()) == slots
+
+
 def test_language_accuracy_and_mixtures(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id.identify(df).join(df.select("doc_id", "lang"), "doc_id")
