@@ -152,16 +152,21 @@ HOT_SHARE = 1000
 HOT_LEAST = 500
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """At most ``HOT_SHARE`` keys of ``counts(key, n)``, one row a key, that hold a large share of ``total`` rows."""
-    return counts.filter(F.col(n) > max(HOT_LEAST, total // HOT_SHARE)).select(key)
-
-
-def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right``, one row a key; rows of ``hot`` keys, of which there is a proven bound, meet theirs by a broadcast and stay where they are."""
-    few = F.broadcast(hot)
-    there = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
-    return there.unionByName(left.join(few, key, "left_anti").join(right.join(few, key, "left_anti"), key, how))
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list:
+    """The keys of ``counts(key, n)``, one row a key, with more than their share of ``total`` rows: at most HOT_SHARE by that."""
+    if total <= HOT_LEAST:
+        return []
+    found = [r[0] for r in counts.filter(F.col(n) > max(HOT_LEAST, total // HOT_SHARE)).select(key).collect()]
+    return [bytes(k) if isinstance(k, bytearray) else k for k in found if k is not None]
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, one row a key; rows of ``hot`` keys, at most HOT_SHARE, meet theirs by a broadcast and stay where they are."""
+    if not hot:
+        return left.join(right, key, how)
+    among = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    there = left.filter(among).join(F.broadcast(right.filter(among)), key, how)
+    return there.unionByName(left.filter(~among).join(right.filter(~among), key, how))
 
 
 def text_or_empty(column: str | Column = "text") -> Column:

@@ -468,10 +468,9 @@ def joined_classes(docs: DataFrame, all_links: bool) -> tuple[DataFrame, DataFra
     ws.drop()
     id_or_null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     # a class is hot where a third of all documents are copies of one text
-    hot = common.hot_keys(placed.select(F.struct("n", "sign").alias("key"), "members"), "key", "members", info.count())
-    own = placed.select(F.struct("n", "sign").alias("key"), "class_id", "part")
-    out = common.join_hot(info.select("doc_id", F.struct("n", "sign").alias("key")), own, "key", hot, "left").select(
-        id_or_null("doc_id").alias("doc_id"), F.col("key.n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("part", "doc_id").alias("component_id")
+    hot = common.hot_keys(placed, "sign", "members", info.count())
+    out = common.join_hot(info.select("doc_id", "n", "sign"), placed.select("sign", "class_id", "part"), "sign", hot, "left").select(
+        id_or_null("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("part", "doc_id").alias("component_id")
     )
     return out.withColumns({c: id_or_null(c) for c in ("class_id", "component_id")}), links, sets, placed, names
 
