@@ -77,6 +77,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     sample = rows.join(F.broadcast(chosen.dropDuplicates()), ["doc_id", "lang", "key"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back(all_of_it=True)
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -149,12 +150,14 @@ def keep_known(docs: DataFrame, langs: list[str], table: np.ndarray, least_score
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back(all_of_it=True)
         for batch in batches:
             found = [mixture(t.as_py(), langs, table)[:2] for t in batch.column("text")]
             known = pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_())
             predicted = pa.array([lang for lang, _ in found], pa.string())
             arrays = [predicted.cast(batch.column(c).type) if c == "lang" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(known)
+        common.give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

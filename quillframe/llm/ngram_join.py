@@ -137,6 +137,7 @@ def show(buckets: int):
     """Pack each batch's prefix tokens by bucket; tokens that the batch itself holds twice are settled here and sent once, without owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back(all_of_it=True)
         for ids, sets, _ in chunks(batches):
             parts = [s[: shown(len(s))] for s in sets]
             sizes = np.array([len(p) for p in parts])
@@ -152,6 +153,7 @@ def show(buckets: int):
             about = (np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), met.astype(np.int64))
             rows.append((abs(ids[0]) % buckets, b"", b"", *(a.tobytes() for a in about), b"".join(signature(s) for s in sets)))
             yield table_of(rows, SHOWN)
+        common.give_back()
 
     return run
 

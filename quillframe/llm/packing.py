@@ -22,13 +22,11 @@ from __future__ import annotations
 
 import bisect
 import math
-import sys
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +142,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def worker_encoder(path: str, run_id: str) -> Encoder:
     """One encoder per worker process for all tasks of one run; what an earlier run remembered is let go. This module is shipped anew with each task, so it is kept outside of it."""
-    kept = sys.modules.setdefault("quillframe_worker_state", ModuleType("quillframe_worker_state")).__dict__.setdefault("encoders", {})
+    kept = common.worker_state()
     if (run_id, path) not in kept:
         kept.clear()
         kept[run_id, path] = Encoder(path)
@@ -187,6 +185,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
             cols = list(zip(*out, strict=True)) or [()] * 5
             arrays = [batch.column("doc_id").take(pa.array(cols[0], pa.int32())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        common.give_back()
 
     source = docs.select("doc_id", "text")
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
