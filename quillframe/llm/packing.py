@@ -24,7 +24,6 @@ import bisect
 import math
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,11 +37,11 @@ from . import common
 
 CAPACITY = 2048
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 1_500_000
 #: Bytes of text that are encoded together, but for a text that alone has more.
-BYTES_TOGETHER = 12 << 20
+BYTES_TOGETHER = 6 << 20
 #: Rows that Spark hands to Python at once, within the 32 MiB of common.small_batches.
-ROWS_TOGETHER = 4096
+ROWS_TOGETHER = 2048
 
 
 def tokenizer_path() -> str:
@@ -77,31 +76,66 @@ def word_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(free)
 
 
+def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of ranges, one range after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 30 else np.int64
+    at = np.repeat((begins - ends + sizes).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return at
+
+
 class Encoder:
-    """Ids of whole texts. Words are found and grouped as Arrow columns; only words not met before are encoded."""
+    """Ids of whole texts. Words are found and grouped as Arrow columns; only words not met before are encoded.
+
+    Met words are known by their 128-bit digests, in arrays sorted by the first half.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.places = {}
-        self.forget()
+        self.ids = np.empty(0, "<u4")
+        self.low, self.high = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.begins, self.sizes, self.met = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint8)
 
     def forget(self) -> None:
         """Let go of all words but those that were met in several columns of texts."""
-        old = [w for w, n in zip(self.places, self.met, strict=True) if n > 1][: REMEMBERED // 2] if self.places else []
-        kept = [self.ids[self.starts[p] : self.starts[p] + self.sizes[p]] for p in map(self.places.__getitem__, old)] if old else []
-        self.places: dict[str, int] = {}
-        self.ids, self.starts, self.sizes, self.met = array("I"), array("q"), array("q"), np.zeros(0, np.uint8)
-        self.remember(old, kept)
-
-    def remember(self, words: list[str], ids: list) -> None:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
-        self.starts.frombytes((np.cumsum(sizes) - sizes + len(self.ids)).tobytes())
-        self.sizes.frombytes(sizes.tobytes())
-        self.ids.frombytes(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())).tobytes())
-        self.met = np.r_[self.met, np.zeros(len(words), np.uint8)]
+        keep = np.flatnonzero(self.met > 1)[: REMEMBERED // 2]
+        self.low, self.high, self.met = self.low[keep], self.high[keep], self.met[keep]
+        begins, self.sizes = self.begins[keep], self.sizes[keep]
+        self.ids = self.ids[ragged(begins, self.sizes)]
+        self.begins = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` each of some distinct words has its own, and how many."""
+        import xxhash
+
+        if len(self.low) > REMEMBERED:
+            self.forget()
+        texts = words.to_pylist()
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<u8").reshape(-1, 2)
+        at = np.searchsorted(self.low, digests[:, 0])
+        near = np.minimum(at, max(0, len(self.low) - 1))
+        taken = self.low[near] == digests[:, 0] if len(self.low) else np.zeros(len(texts), bool)
+        known = taken & (self.high[near] == digests[:, 1]) if len(self.low) else taken
+        begins, sizes = np.empty(len(texts), np.int32), np.empty(len(texts), np.int32)
+        begins[known], sizes[known] = self.begins[near[known]], self.sizes[near[known]]
+        self.met[near[known]] = np.minimum(self.met[near[known]], 254) + 1
+        new = np.flatnonzero(~known)
+        if len(new):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in new.tolist()], add_special_tokens=False)]
+            sizes[new] = np.fromiter(map(len, found), np.int32, len(found))
+            begins[new] = np.cumsum(sizes[new]) - sizes[new] + len(self.ids)
+            self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(found), "<u4", int(sizes[new].sum()))]
+            # of words whose digests begin alike, one is remembered
+            new = new[~taken[new]]
+            new = new[np.unique(digests[new, 0], return_index=True)[1]]
+            columns = [("low", digests[new, 0]), ("high", digests[new, 1]), ("begins", begins[new]), ("sizes", sizes[new]), ("met", np.ones(len(new), np.uint8))]
+            for name, values in columns:
+                setattr(self, name, np.insert(getattr(self, name), at[new], values))
+        return begins, sizes
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """32-bit ids of a column's texts, one after the other, and where each text begins and the last ends."""
@@ -112,22 +146,11 @@ class Encoder:
         edges = edges - edges[0]
         starts = word_starts(data, edges)
         words = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
-        if len(self.starts) > REMEMBERED:
-            self.forget()
-        distinct = words.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.places]
-        if new:
-            self.remember(new, [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
-        place = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
-        self.met[place] = np.minimum(self.met[place], 254) + 1
-        begins, sizes = np.frombuffer(self.starts, np.int64)[place], np.frombuffer(self.sizes, np.int64)[place]
+        begins, sizes = self.look_up(words.dictionary)
         nth = words.indices.to_numpy()
         size = sizes[nth]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(begins[nth] - ends + size, size)
-        at += np.arange(total)
-        ids = np.frombuffer(self.ids, "<u4")[at] if total else np.empty(0, "<u4")
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.ids[ragged(begins[nth], size)]
         return ids, np.r_[0, ends][np.searchsorted(starts, edges)]
 
     def encode(self, text: str) -> list[int]:

@@ -257,11 +257,13 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_words_encode_as_whole_texts():
+@pytest.mark.parametrize("remembered", [packing.REMEMBERED, 40])
+def test_words_encode_as_whole_texts(monkeypatch, remembered):
     """Against a tokenizer of its own, as its file has it; texts are encoded by twos, so that one's end meets the other's start."""
     import pyarrow as pa
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
     encoder, plain = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
     rng = random.Random(1)
     marks = [" ", "  ", "\n", "\t", " \n", "a", "Bc", "é", "7", "'s", ".", "<|endoftext|>", "<", "|>", "\xa0", "\u3000", "\x1c", "\x7f", "日本", ",", "\r"]
