@@ -117,7 +117,7 @@ class Workspace:
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound the Arrow batches that Python receives, as texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -175,6 +175,7 @@ def meet(buckets: int):
         ids, n, met, signs = gathered(table, "ids", "i8"), gathered(table, "counts", "i8"), gathered(table, "met", "i8"), gathered(table, "signs", "V16")
         rows = [(h, w, t, b"", b"", b"") for h, w, t in by_part(home_of(who, buckets), who, times)]
         rows += [(h, i, m, i, c, s) for h, i, m, c, s in by_part(home_of(ids, buckets), ids, met, n, signs)]
+        common.give_back()
         return pa.Table.from_batches([table_of(rows, MET)])
 
     return run
@@ -188,6 +189,7 @@ def screened(table: pa.Table) -> pa.Table:
     last = last[np.r_[ids[last][1:] != ids[last][:-1], True]] if len(ids) else last
     ids, n, signs = ids[last], n[last], signs[last]
     met = np.bincount(np.searchsorted(ids, who), times, minlength=len(ids)).astype(np.int64)
+    common.give_back()
     return pa.table([pa.array(ids), pa.array(met), pa.array(n), pa.array([s.tobytes() for s in signs], pa.binary())], schema=SCREENED)
 
 
@@ -206,6 +208,7 @@ def unfold(buckets: int):
             tokens = np.concatenate(sets)
             owners, ns = np.repeat(np.array(ids, np.int64), sizes), np.repeat(sizes.astype(np.uint32), sizes)
             yield table_of(list(by_part((stir(tokens) % np.uint64(buckets)).astype(np.int64), tokens, owners, ns)), WHOLE)
+        common.give_back()
 
     return run
 
@@ -224,6 +227,7 @@ def rarity(buckets: int):
         times = times[back].astype(np.uint32)
         keep = times > 1
         home = home_of(owners[keep], buckets)
+        common.give_back()
         return pa.Table.from_batches([table_of(list(by_part(home, tokens[keep], owners[keep], sizes[keep], times[keep])), COMMON)])
 
     return run
@@ -242,6 +246,7 @@ def assemble(table: pa.Table) -> pa.Table:
         if prefix > 0:
             turned = [own[np.argsort(stir(own ^ np.uint64(salt)), kind="stable")[:prefix]].astype(np.int64) for salt in SALTS]
             rows.append((int(owners[a]), n, own.astype(np.int64), *turned))
+    common.give_back()
     return pa.Table.from_batches([table_of(rows, SETS)])
 
 

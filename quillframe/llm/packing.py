@@ -40,7 +40,7 @@ CAPACITY = 2048
 REMEMBERED = 1_500_000
 #: Bytes of text that are encoded together, but for a text that alone has more.
 BYTES_TOGETHER = 6 << 20
-#: Rows that Spark hands to Python at once, within the 32 MiB of common.small_batches.
+#: Rows that Spark hands to Python at once, within the bytes of common.small_batches.
 ROWS_TOGETHER = 2048
 
 
@@ -193,6 +193,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        common.give_back()
         encoder, end = worker_encoder(path or tokenizer_path(), run_id), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
