@@ -89,10 +89,10 @@ class Workspace:
             group.append(self)
         self.root = f"{shared_folder(spark)}/quillframe/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, label: str) -> DataFrame:
+    def save(self, df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
         """Write ``df`` once and read it back: a stage boundary that survives lost executors."""
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{label}")
+        df.write.option("compression", codec).parquet(f"{self.root}/{label}")
         del df
         gc.collect()
         return self.load(label, schema)

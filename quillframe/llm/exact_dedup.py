@@ -17,7 +17,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,19 +87,24 @@ def may_contain(keys: np.ndarray, seed: int, length: int, segments: int, table:
     return np.bitwise_xor.reduce(np.frombuffer(table, np.uint8)[slots], axis=1) == prints
 
 
-def freeze(group: pd.DataFrame) -> pd.DataFrame:
-    seed, length, segments, table = build_filter(np.unique(group["h64"].to_numpy().astype(np.uint64)))
-    return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "seed": np.array([seed], np.uint64).astype(np.int64), "length": length, "segments": segments, "prints": [table]})
+FROZEN = pa.schema([("bucket", pa.int64()), ("seed", pa.int64()), ("length", pa.int32()), ("segments", pa.int32()), ("prints", pa.binary())])
+POSITIVE = pa.schema([("digest", pa.binary())])
 
 
-def screen(incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+def freeze(group: pa.Table) -> pa.Table:
+    seed, length, segments, table = build_filter(np.unique(group.column("h64").to_numpy().astype(np.uint64)))
+    signed = int(np.array([seed], np.uint64).astype(np.int64)[0])
+    return pa.Table.from_pylist([{"bucket": group.column("bucket")[0].as_py(), "seed": signed, "length": length, "segments": segments, "prints": table}], FROZEN)
+
+
+def screen(incoming: pa.Table, filters: pa.Table) -> pa.Table:
     """The digests that the bucket's filter lets through."""
-    if filters.empty or incoming.empty:
-        return incoming.loc[:, ["digest"]].iloc[:0]
-    f = filters.iloc[0]
+    if not len(filters) or not len(incoming):
+        return POSITIVE.empty_table()
+    f = filters.to_pylist()[0]
     seed = int(np.array([f["seed"]], np.int64).astype(np.uint64)[0])
-    hit = may_contain(incoming["h64"].to_numpy().astype(np.uint64), seed, int(f["length"]), int(f["segments"]), f["prints"])
-    return incoming.loc[hit, ["digest"]]
+    hit = may_contain(incoming.column("h64").to_numpy().astype(np.uint64), seed, f["length"], f["segments"], f["prints"])
+    return incoming.select(["digest"]).filter(pa.array(hit))
 
 
 def find_copies(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -119,8 +124,8 @@ def find_copies(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     buckets = max(common.partitions(spark), -(-frozen.count() // FILTER_KEYS))
     # each filter key is the digest's first 64 bits; the bucket comes from bits of its own
     keyed = lambda df: df.select("digest", F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long").alias("h64"), F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket"))
-    filters = ws.save(keyed(frozen).groupBy("bucket").applyInPandas(freeze, "bucket long, seed long, length int, segments int, prints binary"), "filters")
-    positive = keyed(fresh).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(screen, "digest binary")
+    filters = ws.save(keyed(frozen).groupBy("bucket").applyInArrow(freeze, "bucket long, seed long, length int, segments int, prints binary"), "filters")
+    positive = keyed(fresh).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(screen, "digest binary")
     pairs = ws.save(
         positive.join(fresh, "digest").join(frozen.select("digest", "n_bytes", F.col("last_id").alias("old_id"), F.col("copies").alias("old_copies")), ["digest", "n_bytes"]), "pairs"
     )

@@ -237,12 +237,12 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     id_type, name = to_arrow_type(kind), kind.simpleString()
     source = docs.select("doc_id", "text").mapInArrow(gather(id_type), f"batch long, ids array<{name}>, n_words long, sizes binary, vocabulary binary, words binary")
-    texts = ws.save(source, "texts")
+    texts = ws.save(source, "texts", "zstd")
     total = texts.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(common.partitions(spark), -(-total // BUCKET_GRAMS))
 
     first = range(min(order, 2))
-    told = [ws.save(texts.mapInArrow(ask_first(first, buckets), spark_schema(ASKED)).groupBy("part").applyInArrow(tell, spark_schema(TOLD)), "told1")]
+    told = [ws.save(texts.mapInArrow(ask_first(first, buckets), spark_schema(ASKED)).groupBy("part").applyInArrow(tell, spark_schema(TOLD)), "told1", "zstd")]
     ws.drop()  # the exchanges behind a written table can go
 
     def home() -> DataFrame:
@@ -252,7 +252,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         return out.groupBy("batch")
 
     for level in range(2, order):
-        told.append(ws.save(home().applyInArrow(ask_next(level, buckets), spark_schema(ASKED)).groupBy("part").applyInArrow(tell, spark_schema(TOLD)), f"told{level}"))
+        told.append(ws.save(home().applyInArrow(ask_next(level, buckets), spark_schema(ASKED)).groupBy("part").applyInArrow(tell, spark_schema(TOLD)), f"told{level}", "zstd"))
         ws.drop()
     parts = ws.save(home().applyInArrow(score(order, id_type), f"doc_id {name}, n_words long, log10_part double, n_unigrams long"), "parts")
     ws.drop("texts", "told1", *(f"told{level}" for level in range(2, order)))

@@ -39,9 +39,9 @@ CAPACITY = 2048
 #: Distinct words whose ids a Python worker remembers.
 REMEMBERED = 1_500_000
 #: Bytes of text that are encoded together, but for a text that alone has more.
-BYTES_TOGETHER = 6 << 20
+BYTES_TOGETHER = 4 << 20
 #: Rows that Spark hands to Python at once, within the bytes of common.small_batches.
-ROWS_TOGETHER = 2048
+ROWS_TOGETHER = 1200
 
 
 def tokenizer_path() -> str:
