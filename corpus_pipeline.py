@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows are judged each on their own, by their text alone. With no labelled row
     there is no language to find, and nothing stays.
     """
-    common.small_batches(spark)
+    common.small_batches(spark, 256)  # whole rows go through Python and come back
     langs, table = language_id.fit(docs.filter(~language_id.held_out()))
     return language_id.keep_known(docs, langs, table, LEAST_SHARE)
 
