@@ -8,14 +8,11 @@ costs the tasks that it ran, never the lineage above the table.
 from __future__ import annotations
 
 import gc
-import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from types import ModuleType
 
-import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,31 +20,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def ship(module_name: str) -> None:
-    """Send a module's functions to the executors by value; nothing need be installed there."""
-    for name in (module_name, __name__):
-        cloudpickle.register_pickle_by_value(sys.modules[name])
-
-
-def worker_state() -> dict:
-    """What a Python worker keeps from task to task. Modules are shipped anew with each task, so it is kept outside of them."""
-    return sys.modules.setdefault("quillframe_worker_state", ModuleType("quillframe_worker_state")).__dict__.setdefault("kept", {})
-
-
-def give_back(all_of_it: bool = False) -> None:
-    """In a Python worker, which Spark uses again for other queries: give unused memory back to the system, and with ``all_of_it`` what earlier queries kept."""
-    import ctypes
-
-    import pyarrow as pa
-
-    if all_of_it:
-        worker_state().clear()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-    if trim:
-        trim(0)
-
-
 #: Folders of local sessions that name none.
 _local_folders: dict[str, str] = {}
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 
 GOLDEN = 0x9E3779B97F4A7C15
 #: Snapshot digests that one filter holds, about.
@@ -110,7 +110,7 @@ def screen(incoming: pa.Table, filters: pa.Table) -> pa.Table:
 def find_copies(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for the rows of both tables ``(doc_id, text)``."""
     spark = snapshot.sparkSession
-    common.ship(__name__)
+    workers.ship(__name__)
     ws = common.Workspace(spark, "exact_dedup")
 
     def rows(df: DataFrame, batch: str) -> DataFrame:

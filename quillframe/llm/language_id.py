@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 
 SLOTS = 1 << 17
 PER_LANGUAGE = 1000
@@ -64,7 +64,7 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities ``(SLOTS, languages)`` from ``labelled(doc_id, text, lang)``."""
-    common.ship(__name__)
+    workers.ship(__name__)
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("key"), "text")
     # The first ``per_language`` by key, without a task that sees all of a language: rows are counted by 4096 ranges of
     # the key, which tells the ranges that the first ones are in, and ranked inside their range.
@@ -77,7 +77,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     sample = rows.join(F.broadcast(chosen.dropDuplicates()), ["doc_id", "lang", "key"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.give_back(all_of_it=True)
+        workers.give_back(all_of_it=True)
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -132,7 +132,7 @@ def mixture(text: str | None, langs: list[str], table: np.ndarray) -> tuple[str,
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """``docs``' id with ``lang_pred, score, lang_set``."""
-    common.ship(__name__)
+    workers.ship(__name__)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,18 +146,18 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
 
 def keep_known(docs: DataFrame, langs: list[str], table: np.ndarray, least_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that have a language with a share of ``least_score`` or more, in one pass, with it as their ``lang``."""
-    common.ship(__name__)
+    workers.ship(__name__)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.give_back(all_of_it=True)
+        workers.give_back(all_of_it=True)
         for batch in batches:
             found = [mixture(t.as_py(), langs, table)[:2] for t in batch.column("text")]
             known = pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_())
             predicted = pa.array([lang for lang, _ in found], pa.string())
             arrays = [predicted.cast(batch.column(c).type) if c == "lang" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(known)
-        common.give_back()
+        workers.give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, ngram_join
+from . import common, ngram_join, workers
 from .ngram_join import spark_schema, stir, table_of
 
 ORDER = 3
@@ -230,8 +230,8 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
-    common.ship(__name__)
-    common.ship(ngram_join.__name__)
+    workers.ship(__name__)
+    workers.ship(ngram_join.__name__)
     common.small_batches(spark)
     ws = common.Workspace(spark, "lm_scoring")
     kind = docs.schema["doc_id"].dataType

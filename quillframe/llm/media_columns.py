@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import common
+from . import common, workers
 
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -157,7 +157,7 @@ FIELDS = [
 
 def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: sizes, digests and hashes, and on demand the PNG itself."""
-    common.ship(__name__)
+    workers.ship(__name__)
     fields = FIELDS if with_media else FIELDS[:-1]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

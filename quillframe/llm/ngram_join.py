@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 from .components import components
 
 SHINGLE = 5
@@ -137,7 +137,7 @@ def show(buckets: int):
     """Pack each batch's prefix tokens by bucket; tokens that the batch itself holds twice are settled here and sent once, without owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.give_back(all_of_it=True)
+        workers.give_back(all_of_it=True)
         for ids, sets, _ in chunks(batches):
             parts = [s[: shown(len(s))] for s in sets]
             sizes = np.array([len(p) for p in parts])
@@ -153,7 +153,7 @@ def show(buckets: int):
             about = (np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64), met.astype(np.int64))
             rows.append((abs(ids[0]) % buckets, b"", b"", *(a.tobytes() for a in about), b"".join(signature(s) for s in sets)))
             yield table_of(rows, SHOWN)
-        common.give_back()
+        workers.give_back()
 
     return run
 
@@ -175,7 +175,7 @@ def meet(buckets: int):
         ids, n, met, signs = gathered(table, "ids", "i8"), gathered(table, "counts", "i8"), gathered(table, "met", "i8"), gathered(table, "signs", "V16")
         rows = [(h, w, t, b"", b"", b"") for h, w, t in by_part(home_of(who, buckets), who, times)]
         rows += [(h, i, m, i, c, s) for h, i, m, c, s in by_part(home_of(ids, buckets), ids, met, n, signs)]
-        common.give_back()
+        workers.give_back()
         return pa.Table.from_batches([table_of(rows, MET)])
 
     return run
@@ -189,7 +189,7 @@ def screened(table: pa.Table) -> pa.Table:
     last = last[np.r_[ids[last][1:] != ids[last][:-1], True]] if len(ids) else last
     ids, n, signs = ids[last], n[last], signs[last]
     met = np.bincount(np.searchsorted(ids, who), times, minlength=len(ids)).astype(np.int64)
-    common.give_back()
+    workers.give_back()
     return pa.table([pa.array(ids), pa.array(met), pa.array(n), pa.array([s.tobytes() for s in signs], pa.binary())], schema=SCREENED)
 
 
@@ -208,7 +208,7 @@ def unfold(buckets: int):
             tokens = np.concatenate(sets)
             owners, ns = np.repeat(np.array(ids, np.int64), sizes), np.repeat(sizes.astype(np.uint32), sizes)
             yield table_of(list(by_part((stir(tokens) % np.uint64(buckets)).astype(np.int64), tokens, owners, ns)), WHOLE)
-        common.give_back()
+        workers.give_back()
 
     return run
 
@@ -227,7 +227,7 @@ def rarity(buckets: int):
         times = times[back].astype(np.uint32)
         keep = times > 1
         home = home_of(owners[keep], buckets)
-        common.give_back()
+        workers.give_back()
         return pa.Table.from_batches([table_of(list(by_part(home, tokens[keep], owners[keep], sizes[keep], times[keep])), COMMON)])
 
     return run
@@ -246,7 +246,7 @@ def assemble(table: pa.Table) -> pa.Table:
         if prefix > 0:
             turned = [own[np.argsort(stir(own ^ np.uint64(salt)), kind="stable")[:prefix]].astype(np.int64) for salt in SALTS]
             rows.append((int(owners[a]), n, own.astype(np.int64), *turned))
-    common.give_back()
+    workers.give_back()
     return pa.Table.from_batches([table_of(rows, SETS)])
 
 
@@ -429,7 +429,7 @@ def jaccard_classes(docs: DataFrame, all_links: bool = False) -> tuple[DataFrame
 
 def joined_classes(docs: DataFrame, all_links: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:
     spark = docs.sparkSession
-    common.ship(__name__)
+    workers.ship(__name__)
     common.small_batches(spark)
     ws = common.Workspace(spark, "ngram_join")
     texts, names = numbered(docs, ws)

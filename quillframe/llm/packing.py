@@ -33,13 +33,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 
 CAPACITY = 2048
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 #: Bytes of text that are encoded together, but for a text that alone has more.
-BYTES_TOGETHER = 4 << 20
+BYTES_TOGETHER = 3 << 20
+#: Words that the tokenizer encodes at once: what it returns for each is far larger than its ids.
+WORDS_TOGETHER = 8192
 #: Rows that Spark hands to Python at once, within the bytes of common.small_batches.
 ROWS_TOGETHER = 1200
 
@@ -125,7 +127,10 @@ class Encoder:
         self.met[near[known]] = np.minimum(self.met[near[known]], 254) + 1
         new = np.flatnonzero(~known)
         if len(new):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in new.tolist()], add_special_tokens=False)]
+            unknown = [texts[i] for i in new.tolist()]
+            found: list[list[int]] = []
+            for i in range(0, len(unknown), WORDS_TOGETHER):
+                found += [e.ids for e in self.tokenizer.encode_batch_fast(unknown[i : i + WORDS_TOGETHER], add_special_tokens=False)]
             sizes[new] = np.fromiter(map(len, found), np.int32, len(found))
             begins[new] = np.cumsum(sizes[new]) - sizes[new] + len(self.ids)
             self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(found), "<u4", int(sizes[new].sum()))]
@@ -165,7 +170,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def worker_encoder(path: str, run_id: str) -> Encoder:
     """One encoder per worker process for all tasks of one run; what an earlier run remembered is let go. This module is shipped anew with each task, so it is kept outside of it."""
-    kept = common.worker_state()
+    kept = workers.worker_state()
     if (run_id, path) not in kept:
         kept.clear()
         kept[run_id, path] = Encoder(path)
@@ -185,7 +190,7 @@ def together(column: pa.Array) -> Iterator[pa.Array]:
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` for every piece of every row."""
-    common.ship(__name__)
+    workers.ship(__name__)
     common.small_batches(docs.sparkSession, ROWS_TOGETHER)
     run_id = uuid.uuid4().hex
 
@@ -193,7 +198,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        common.give_back()
+        workers.give_back()
         encoder, end = worker_encoder(path or tokenizer_path(), run_id), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
@@ -209,7 +214,8 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
             cols = list(zip(*out, strict=True)) or [()] * 5
             arrays = [batch.column("doc_id").take(pa.array(cols[0], pa.int32())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
-        common.give_back()
+            pa.default_memory_pool().release_unused()
+        workers.give_back()
 
     source = docs.select("doc_id", "text")
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
@@ -349,7 +355,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     before = cells.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start"))
     ranked = cell.withColumn("inside", inside).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("inside") - 1)
-    common.ship(__name__)
+    workers.ship(__name__)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
