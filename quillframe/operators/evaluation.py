@@ -18,14 +18,24 @@ def binned(x: Column, edges: list[float]) -> Column:
     return out
 
 
+#: Ranges of values whose counts are summed one after the other; this bounds what is broadcast, too.
+RANGES = 4096
+
+
 def rank_sums(df: DataFrame, value: str, group: Column) -> DataFrame:
     """Mann-Whitney U of ``group`` against the rest, with average ranks for ties, and what its variance needs.
 
-    Ranks come from counts of distinct values, whose running sum is taken over values and not over rows.
+    Ranks come from counts of distinct values, whose running sum is taken in two steps: over ``RANGES`` ranges
+    of the values, and inside each range.
     """
     cells = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.count_if(group).alias("n1"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cells.withColumn("rank", below + (F.col("n") + 1) / 2)
+    low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    span = (high - low) if low is not None and high > low else 1.0
+    cells = cells.withColumn("range", F.floor((F.col("v").cast("double") - F.lit(low)) / span * RANGES))
+    ranges = cells.groupBy("range").agg(F.sum("n").alias("m"))
+    before = ranges.select("range", (F.sum("m").over(Window.orderBy("range")) - F.col("m")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("range").orderBy("v")) - F.col("n")
+    ranked = cells.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn("rank", F.col("before") + F.col("inside") + (F.col("n") + 1) / 2)
     n, n1 = F.sum("n"), F.sum("n1")
     return ranked.agg(
         n.alias("n"), n1.alias("n1"), (F.sum(F.col("rank") * F.col("n1")) - n1 * (n1 + 1) / 2).alias("u"), F.sum(F.col("n").cast("double") * (F.col("n") * F.col("n") - 1)).alias("ties")

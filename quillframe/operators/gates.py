@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def quality(purity_a: Column, purity_b: Column, iou: Column, confidence: Column, area_a: Column, area_b: Column) -> Column:
-    """NaN fails every test, as it is no measurement."""
+    """NaN fails every test, areas included, as it is no measurement."""
     good = lambda c: F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-    tests = (good(purity_a) >= 0.70) & (good(purity_b) >= 0.70) & (good(iou) <= 0.10) & (good(confidence) >= 0.70) & (area_a > 1e-6) & (area_b > 1e-6)
+    tests = (good(purity_a) >= 0.70) & (good(purity_b) >= 0.70) & (good(iou) <= 0.10) & (good(confidence) >= 0.70) & (good(area_a) > 1e-6) & (good(area_b) > 1e-6)
     return F.coalesce(tests, F.lit(False))
 
 
@@ -41,6 +41,41 @@ def flags(rules: Sequence[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in rules)))
 
 
+#: Limits of the signals of a shot.
+SHOT_LIMITS = {
+    "stability_min": 0.70, "flip_rate_max": 0.02, "empty_rate_max": 0.10, "margin_min": 0.60, "frag_max": 2.5, "dist_max": 0.35,
+    "area_min": 0.005, "area_max": 0.40, "stray_max": 0.50, "matfill_area_min": 0.25, "matfill_border_min": 0.25,
+}
+
+
+def finite(c: Column) -> Column:
+    """Null for what is no finite number, so that no test with it holds."""
+    c = c.cast("double")
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
+def shot_flags(s: dict[str, Column]) -> Column:
+    """The ten flags of a shot's signals by name; a signal that wasn't measured raises none."""
+    v, t = {k: finite(c) for k, c in s.items()}, SHOT_LIMITS
+    fragments = v["frag"] > t["frag_max"]
+    # a stable core is a matter of cleaning, not a broken shot
+    stray = F.coalesce((v["stray_frac"] <= t["stray_max"]) & (v["core_stability"] >= t["stability_min"]), F.lit(False))
+    return flags([
+        ("mat_fill", (v["area"] > t["matfill_area_min"]) & (v["border"] > t["matfill_border_min"])), ("unstable", v["stability"] < t["stability_min"]),
+        ("id_flips", v["flip_rate"] > t["flip_rate_max"]), ("athlete_missing", v["empty_rate"] > t["empty_rate_max"]), ("low_margin", v["margin"] < t["margin_min"]),
+        ("stray_blobs", fragments & stray), ("fragmented", fragments & ~stray), ("far_apart", v["dist"] > t["dist_max"]),
+        ("area_tiny", v["area"] < t["area_min"]), ("area_huge", v["area"] > t["area_max"]),
+    ])
+
+
+def largest_clean(candidates: DataFrame, key: str, order: str, frame_px: int, least_px: int = 1500, most_share: float = 0.20, most_contamination: float = 0.25) -> DataFrame:
+    """Of each key's ``candidates(px, own, opp)``, the largest that is neither tiny, nor too much of the picture, nor mixed with the opponent; the first by ``order`` on a tie."""
+    mixed = F.col("opp") / F.greatest(F.lit(1), F.col("own") + F.col("opp"))
+    fit = candidates.withColumn("contamination", mixed).filter((F.col("px") >= least_px) & (F.col("px") <= most_share * frame_px) & (F.col("contamination") <= most_contamination))
+    best = F.max_by(F.struct(order, "px", "contamination"), F.struct("px", (-F.col(order)).alias("first")))
+    return fit.groupBy(key).agg(best.alias("best")).select(key, "best.*")
+
+
 def verdict(found: Column) -> Column:
     return F.when(F.size(found) == 0, "ok").when(found == F.array(F.lit("stray_blobs")), "cleanup").otherwise("review")
 

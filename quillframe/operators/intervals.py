@@ -19,10 +19,10 @@ def change_signal(frames: DataFrame) -> DataFrame:
 
 
 def robust_z(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Adds ``z``: distance from the key's median in units of 1.4826 MAD; two aggregations that join back on the key."""
+    """Adds ``z``: distance from the key's median in units of 1.4826 times the MAD and a millionth; two aggregations that join back on the key."""
     middle = df.groupBy(key).agg(F.median(value).alias("middle"))
     around = df.join(middle, key).withColumn("off", F.abs(F.col(value) - F.col("middle")))
-    spread = around.groupBy(key).agg((F.median("off") * 1.4826 + 1e-6).alias("spread"))
+    spread = around.groupBy(key).agg(((F.median("off") + 1e-6) * 1.4826).alias("spread"))
     return around.join(spread, key).withColumn("z", (F.col(value) - F.col("middle")) / F.col("spread")).drop("off")
 
 
@@ -117,7 +117,18 @@ def evenly(start: Column, end: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (start + i * (end - start) / (n - 1)).cast("long"))
 
 
-def sampled_runs(length: Column, least: int, run_len: int, per: int = 360, most: int = 10) -> Column:
-    """How many runs to sample from an interval: more in longer ones, never more than fit, at least one."""
+def sampled_runs(start: Column, end: Column, least: int, run_len: int, per: int = 360, most: int = 10) -> Column:
+    """Runs ``(anchor, length)`` to sample from an interval: more in longer ones, never more than fit, spread evenly.
+
+    An interval shorter than a run is one run itself, or none if it has a single frame.
+    """
+    start, end = start.cast("long"), end.cast("long")
+    length = end - start
     wanted = F.least(F.greatest(F.lit(least).cast("long"), F.floor(length / per)), F.lit(most).cast("long"))
-    return F.greatest(F.lit(1).cast("long"), F.least(wanted, F.floor(length / run_len)))
+    n = F.least(wanted, F.greatest(F.lit(1).cast("long"), F.floor(length / run_len)))
+    step = F.when(n > 1, (length - run_len).cast("double") / (n - 1)).otherwise(F.lit(0.0))
+    last = F.lit(run_len).cast("long")
+    at = lambda i: F.when((n > 1) & (i == n - 1), end - run_len).otherwise((start + i * step).cast("long"))
+    runs = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1).cast("long")) - 1), lambda i: F.struct(at(i).alias("anchor"), last.alias("length")))
+    short = F.when(length >= 2, F.array(F.struct(start.alias("anchor"), length.alias("length")))).otherwise(F.slice(runs, 1, 0))
+    return F.when(length >= run_len, runs).otherwise(short)

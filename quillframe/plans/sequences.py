@@ -15,7 +15,7 @@ FRAMES = """frames AS (SELECT user_id AS slug, row_number() OVER (PARTITION BY u
   value AS signal, event_type AS cls, event_id, ts, props FROM events)"""
 CHANGE = """changes AS (SELECT *, coalesce(abs(signal - lag(signal) OVER (PARTITION BY slug ORDER BY frame)), 0) AS change FROM frames)"""
 ROBUST = """mids AS (SELECT slug, median(change) AS mid FROM changes GROUP BY slug),
-spreads AS (SELECT c.slug, median(abs(change - mid)) * 1.4826 + 1e-6 AS spread FROM changes c JOIN mids m ON c.slug = m.slug GROUP BY c.slug),
+spreads AS (SELECT c.slug, (median(abs(change - mid)) + 1e-6) * 1.4826 AS spread FROM changes c JOIN mids m ON c.slug = m.slug GROUP BY c.slug),
 zs AS (SELECT c.*, mid, spread, (change - mid) / spread AS z FROM changes c JOIN mids m ON c.slug = m.slug JOIN spreads s ON c.slug = s.slug)"""
 CUTS = f"cuts AS (SELECT slug, frame FROM zs WHERE z > {Z})"
 KEPT = f"""follow AS (SELECT c.slug, c.frame, min(d.frame) AS next FROM cuts c LEFT JOIN cuts d ON c.slug = d.slug AND d.frame >= c.frame + {GAP} GROUP BY c.slug, c.frame),
@@ -162,7 +162,7 @@ def linspace_sample(spark, d):
 
 def density_runs(spark, d):
     s = shots(spark, d)
-    return s.select("slug", "shot_id", iv.sampled_runs(F.col("end") - F.col("start"), 2, 4, 15).alias("runs"))
+    return s.select("slug", "shot_id", F.explode(iv.sampled_runs(F.col("start"), F.col("end"), 2, 4, 15)).alias("run")).select("slug", "shot_id", "run.anchor", "run.length")
 
 
 SQL = {
@@ -200,7 +200,9 @@ SQL = {
     "monotone_dedup": """WITH a AS (SELECT l_suppkey AS slug, l_orderkey AS arrival, l_linenumber AS line, l_partkey % 500 AS frame FROM lineitem),
       b AS (SELECT *, max(frame) OVER (PARTITION BY slug ORDER BY arrival, line, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM a) SELECT slug, arrival, line, frame FROM b WHERE e IS NULL OR frame > e""",
     "linspace_sample": ALL + """, n AS (SELECT *, unnest(range(5)) AS nth FROM shots) SELECT slug, shot_id, CAST(nth AS INT) AS nth, CAST(trunc(start + nth * ("end" - 1 - start) / 4) AS BIGINT) AS frame FROM n""",
-    "density_runs": ALL + """SELECT slug, shot_id, CAST(greatest(1, least(least(greatest(2, ("end" - start) // 15), 10), ("end" - start) // 4)) AS BIGINT) AS runs FROM shots""",
+    "density_runs": ALL + """, n AS (SELECT slug, shot_id, start, "end" - start AS len, "end" AS stop, CASE WHEN "end" - start >= 4 THEN least(least(greatest(2, ("end" - start) // 15), 10), greatest(1, ("end" - start) // 4)) ELSE 1 END AS n FROM shots WHERE "end" - start >= 2),
+      r AS (SELECT *, unnest(range(CAST(n AS BIGINT))) AS i FROM n)
+      SELECT slug, shot_id, CAST(CASE WHEN n > 1 AND i = n - 1 THEN stop - 4 WHEN n > 1 THEN trunc(start + i * (CAST(len - 4 AS DOUBLE) / (n - 1))) ELSE start END AS BIGINT) AS anchor, CAST(least(len, 4) AS BIGINT) AS length FROM r""",
     "pick_nonoverlap": f"""WITH RECURSIVE {FRAMES}, p AS (SELECT * FROM frames WHERE cls <> 'error'), m AS (SELECT slug, unnest(range(0, max(frame) + 1, 5)) AS s FROM p GROUP BY slug),
       w AS (SELECT m.slug, m.s, m.s + 20 AS e, round(avg(signal), 6) AS score FROM m JOIN p ON p.slug = m.slug AND p.frame >= m.s AND p.frame < m.s + 20 GROUP BY m.slug, m.s HAVING count(*) >= 12),
       o AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY score DESC, s) AS r FROM w),

@@ -207,7 +207,7 @@ def seg_metrics(spark, d):
 
 
 def class_weights(spark, d):
-    per = table(spark, d, "lineitem").filter("l_orderkey % 37 = 0").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    per = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return per.select("l_returnflag", F.round(F.sqrt(total / (3 * F.col("n"))), 6).alias("weight"))
 
@@ -287,7 +287,7 @@ SQL = {
     "seg_metrics": f"""WITH {MASKS}, m AS (SELECT *, lead(a) OVER w AS pa, lead(b) OVER w AS pb FROM masks WINDOW w AS (PARTITION BY frame ORDER BY id, a, b)),
       s AS (SELECT *, ({mask_iou_sql('a', 'pa')} + {mask_iou_sql('b', 'pb')}) / 2 AS st, ({mask_iou_sql('a', 'pb')} + {mask_iou_sql('b', 'pa')}) / 2 AS cr, [a[1] | b[1], a[2] | b[2]] AS u, [pa[1] | pb[1], pa[2] | pb[2]] AS pu FROM m WHERE pa IS NOT NULL)
       SELECT frame, id, round(st, 6) AS assigned, round(greatest(st, cr), 6) AS best, cr > st AS flipped, round({mask_iou_sql('u', 'pu')}, 6) AS iou_union FROM s""",
-    "class_weights": "SELECT l_returnflag, round(sqrt(sum(count(*)) OVER () / (3 * count(*))), 6) AS weight FROM lineitem WHERE l_orderkey % 37 = 0 GROUP BY l_returnflag",
+    "class_weights": "SELECT l_returnflag, round(sqrt(sum(count(*)) OVER () / (3 * count(*))), 6) AS weight FROM lineitem GROUP BY l_returnflag",
     "referee_pick": f"""WITH {BOXES}, {PICKED}, t AS (SELECT a.frame, a.id, max({iou_sql('a', 'b')}) AS contact FROM nb a JOIN nb b ON a.frame = b.frame AND a.rank > 2 AND b.rank <= 2 GROUP BY a.frame, a.id)
       SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY frame ORDER BY contact DESC, id) = 1""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KEYPOINTS = 17
+from quillframe.operators.skeletons import KEYPOINT_NAMES
 
 
 def feature_schema() -> T.StructType:
@@ -18,7 +18,7 @@ def feature_schema() -> T.StructType:
     fields += [("a_kp_in_b", "int"), ("b_kp_in_a", "int")]
     for who in "AB":
         fields += [(f"{who}_{n}", k) for n, k in (("mask_area", "double"), ("kp_visible", "int"), ("purity", "double"), ("proto_dist", "double"), ("proto_margin", "double"), ("attributed", "boolean"), ("cx", "double"), ("cy", "double"))]
-        fields += [(f"{who}_kp{i}_{axis}", "double") for i in range(KEYPOINTS) for axis in "xyc"]
+        fields += [(f"{who}_{name}_{axis}", "double") for name in KEYPOINT_NAMES for axis in "xyc"]
     return T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in fields))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import raster
 from quillframe.functions import scalars as sc
-from quillframe.operators import gates, geometry, identity
+from quillframe.operators import gates, geometry, identity, skeletons
 from quillframe.operators import intervals as iv
 from quillframe.sources import stores
 
@@ -95,3 +95,52 @@ def test_sources(spark, tmp_path):
     assert stores.read_features(spark, [str(tmp_path / "chunk")], ["frame", "A_purity"]).count() == 0
     old = spark.createDataFrame([("a", 1), ("b", 2)], "slug string, n int")
     assert rows(stores.upsert(old, spark.createDataFrame([("b", 3)], "slug string, n int"), "slug")) == [("a", 1), ("b", 3)]
+
+
+def test_areas_that_are_no_number_fail(spark):
+    df = spark.createDataFrame([(0.5,), (float("nan"),), (None,), (0.0,)], "area double")
+    ok = lambda x: F.lit(x)
+    got = df.select(gates.quality(ok(0.9), ok(0.9), ok(0.0), ok(0.9), F.col("area"), ok(1.0)).alias("x")).collect()
+    assert [r["x"] for r in got] == [True, False, False, False]
+
+
+def test_spread_of_equal_values(spark):
+    """With a MAD of 0 the spread is 1.4826 millionths."""
+    df = spark.createDataFrame([("a", x) for x in (1.0, 1.0, 1.0, 2.0)], "k string, v double")
+    assert abs(iv.robust_z(df, "k", "v").agg(F.max("z")).first()[0] - 1 / 1.4826e-6) < 1
+
+
+def test_sampled_runs(spark):
+    cases = [(10, 10), (10, 11), (10, 12), (10, 13), (10, 14), (0, 100), (0, 5000)]
+    df = spark.createDataFrame(cases, "a long, b long").select("a", "b", iv.sampled_runs(F.col("a"), F.col("b"), 3, 4).alias("runs"))
+    got = {(r["a"], r["b"]): [tuple(x) for x in r["runs"]] for r in df.collect()}
+    assert got[10, 10] == got[10, 11] == []
+    assert got[10, 12] == [(10, 2)] and got[10, 13] == [(10, 3)] and got[10, 14] == [(10, 4)]
+    assert got[0, 100] == [(0, 4), (48, 4), (96, 4)]
+    assert len(got[0, 5000]) == 10 and got[0, 5000][1] == (555, 4) and got[0, 5000][-1] == (4996, 4)
+
+
+def test_skeletons(spark):
+    points = [(1, s, i, 0.9 if i < vis else 0.1, i < a, i >= a) for s, vis, a in ((1, 17, 17), (2, 17, 9), (3, 3, 3), (4, 10, 0), (5, 17, 17)) for i in range(17)]
+    df = spark.createDataFrame(points, "frame long, skeleton long, i int, c double, in_a boolean, in_b boolean")
+    assert rows(skeletons.attribute(df)) == [(1, "A", 1, 17.0), (1, "B", 4, 10.0)], "split, hardly visible and later ones belong to none"
+    kp = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(c).alias("c")) for x, y, c in ((1.0, 2.0, 0.5), (3.0, 6.0, 0.4), (9.0, 9.0, 0.1))))
+    got = spark.range(1).select(*(skeletons.middle(kp, a, b).alias(f"m{a}{b}") for a, b in ((0, 1), (0, 2), (2, 2)))).first()
+    assert (tuple(got["m01"]), tuple(got["m02"]), got["m22"]) == ((2.0, 4.0), (1.0, 2.0), None)
+
+
+def test_feature_rows_have_the_stored_schema(spark):
+    from quillframe.plans import features
+
+    got = features.feature_rows(spark, "/root/testdata/sf0.001")
+    assert got.columns == stores.feature_schema().fieldNames()
+
+
+def test_flags_of_a_shot(spark):
+    good = {"area": 0.1, "border": 0.0, "stability": 0.9, "flip_rate": 0.0, "empty_rate": 0.0, "margin": 0.9, "frag": 1.0, "stray_frac": 0.1, "core_stability": 0.9, "dist": 0.1}
+    flags = lambda **other: spark.range(1).select(gates.shot_flags({k: F.lit(v) for k, v in (good | other).items()}).alias("f")).first()["f"]
+    nan = float("nan")
+    assert flags() == flags(frag=nan, dist=nan) == flags(stability=nan) == []
+    assert flags(frag=3.0) == ["stray_blobs"] and flags(frag=3.0, stray_frac=nan) == flags(frag=3.0, core_stability=0.5) == ["fragmented"]
+    assert flags(area=0.5, border=0.3, stability=0.1, flip_rate=0.1, empty_rate=0.2, margin=0.1, dist=0.5) == ["mat_fill", "unstable", "id_flips", "athlete_missing", "low_margin", "far_apart", "area_huge"]
+    assert flags(area=0.001) == ["area_tiny"]
