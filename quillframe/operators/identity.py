@@ -58,13 +58,25 @@ HEALTH_SCHEMA = "slug long, frame long, state string"
 
 
 def health(frames: DataFrame, wait: int = 8, most: int = 5) -> DataFrame:
-    """States of ``frames(slug, frame, triggered, severe)``: an ordered fold per slug, in bounded groups of one match."""
+    """States of ``frames(slug, frame, triggered, severe)``.
+
+    Untriggered frames are healthy by themselves. The others go to an ordered fold in bursts: after an untriggered
+    frame the count is 0, and ``wait`` frames after the last triggered one nothing waits, so a burst from there on
+    owes nothing to what was before it. A fold holds one burst, not a key.
+    """
+    upto = Window.partitionBy("slug").orderBy("frame")
+    f = frames.select("slug", "frame", "triggered", "severe")
+    f = f.withColumn("calm", F.coalesce(~F.lag("triggered").over(upto), F.lit(True)))
+    f = f.withColumn("since", F.last(F.when(F.col("triggered"), F.col("frame")), True).over(upto.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.col("triggered") & F.col("calm") & (F.col("since").isNull() | (F.col("frame") - F.col("since") >= wait))
+    f = f.withColumn("burst", F.sum(opens.cast("long")).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group, state, out = group.sort_values("frame"), (None, 0), []
-        for f, t, s in zip(group["frame"].tolist(), group["triggered"].tolist(), group["severe"].tolist(), strict=True):
-            name, state = health_step(state, f, t, s, wait, most)
+        for frame, calm, severe in zip(group["frame"].tolist(), group["calm"].tolist(), group["severe"].tolist(), strict=True):
+            name, state = health_step((state[0], 0) if calm else state, frame, True, severe, wait, most)
             out.append(name)
         return pd.DataFrame({"slug": group["slug"], "frame": group["frame"], "state": out})
 
-    return frames.select("slug", "frame", "triggered", "severe").groupBy("slug").applyInPandas(run, HEALTH_SCHEMA)
+    folded = f.filter("triggered").select("slug", "burst", "frame", "calm", "severe").groupBy("slug", "burst").applyInPandas(run, HEALTH_SCHEMA)
+    return folded.unionByName(f.filter(~F.coalesce("triggered", F.lit(False))).select("slug", "frame", F.lit(HEALTHY).alias("state")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillframe.plans import features, planes, reports, sequences, streams, tracks
+from quillframe.plans import features, planes, reports, scenes, sequences, streams, tracks
 
-PLANS = (sequences, features, planes, tracks, reports, streams)
+PLANS = (sequences, features, planes, scenes, tracks, reports, streams)
 
 
 def queries():
