@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions import scalars
+
 HEALTHY, SOFT, HARD, ESCALATED = "healthy", "soft_repair", "hard_reanchor", "escalated_to_llm"
 
 
@@ -24,6 +26,23 @@ def weighted_mean(df: DataFrame, key: str, histogram: str, weight: str) -> DataF
     return means.select(key, "bin", (F.col("mean") / total).alias("mean"))
 
 
+#: So many prototypes at most are broadcast, to meet every histogram.
+MOST_PROTOTYPES = 1000
+
+
+def to_prototypes(histograms: DataFrame, prototypes: DataFrame, keys: list[str], label: str, most: int = MOST_PROTOTYPES) -> DataFrame:
+    """``keys, label, dist``: Hellinger distance of each ``hist`` to each prototype, given as ``label, bin, mean``.
+
+    The prototypes are counted first. Up to ``most`` are one broadcast table; more of them meet the histograms bin by bin.
+    """
+    if prototypes.select(label).distinct().limit(most + 1).count() <= most:
+        whole = prototypes.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mean"))), lambda c: c["mean"]).alias("proto"))
+        return histograms.join(F.broadcast(whole)).select(*keys, label, scalars.hellinger(F.col("hist"), F.col("proto")).alias("dist"))
+    cells = histograms.select(*keys, F.posexplode("hist").alias("bin", "share")).join(prototypes, "bin")
+    same = cells.groupBy(*keys, label).agg(F.sum(F.sqrt(F.col("share") * F.col("mean"))).alias("same"))
+    return same.select(*keys, label, F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("same"))).alias("dist"))
+
+
 def keep_exemplars(df: DataFrame, key: str, order: str, first: int = 6, newest: int = 18) -> DataFrame:
     """A bank's pinned first exemplars and its newest ones."""
     up, down = Window.partitionBy(key).orderBy(order), Window.partitionBy(key).orderBy(F.desc(order))

@@ -31,13 +31,19 @@ def raw_cuts(frames: DataFrame, z_threshold: float = 2.0) -> DataFrame:
 
 
 def cooldown(cuts: DataFrame, gap: int = 10) -> DataFrame:
-    """Keeps a cut if it is ``gap`` frames or more after the last kept one: a fold, which a lag can't express."""
+    """Keeps a cut if it is ``gap`` frames or more after the last kept one: a fold, which a lag can't express.
+
+    A cut that far from the one before it is always kept, so what lies between two such is folded by itself.
+    """
+    order = Window.partitionBy("slug").orderBy("frame")
+    opens = F.coalesce(F.col("frame") - F.lag("frame").over(order) >= gap, F.lit(True))
+    bursts = cuts.withColumn("opens", opens).withColumn("burst", F.sum(F.col("opens").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     kept = F.aggregate(
         F.array_sort(F.collect_list("frame")),
         F.array().cast("array<bigint>"),
         lambda done, f: F.when((F.size(done) == 0) | (f - F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) >= gap), F.array_append(done, f)).otherwise(done),
     )
-    return cuts.groupBy("slug").agg(kept.alias("kept")).select("slug", F.explode("kept").alias("frame"))
+    return bursts.groupBy("slug", "burst").agg(kept.alias("kept")).select("slug", F.explode("kept").alias("frame"))
 
 
 def build_shots(frames: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -63,15 +69,18 @@ def clipped(windows: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, width: int = 64) -> DataFrame:
-    """Left join of ``points(slug, frame)`` with the interval that holds them.
+    """Left join of ``points(slug, frame)`` with the first interval that holds them; -1 and '' without.
 
-    Intervals are listed under every bucket of ``width`` frames that they touch, which
-    makes an equi-join with a residual predicate out of a range join. -1 and '' without.
+    Intervals are listed under every bucket of ``width`` frames that they touch, and a bucket's list is one
+    row, so a range join becomes an equi-join that keeps the number of points. Disjoint intervals are at most
+    ``width`` to a bucket.
     """
-    listed = intervals.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
-    p, i = points.withColumn("bucket", F.floor(F.col("frame") / width)).alias("p"), listed.alias("i")
-    hit = (F.col("p.slug") == F.col("i.slug")) & (F.col("p.bucket") == F.col("i.bucket")) & (F.col("p.frame") >= F.col("i.start")) & (F.col("p.frame") < F.col("i.end"))
-    return p.join(i, hit, "left").select("p.*", F.coalesce("i.shot_id", F.lit(-1)).alias("shot_id"), F.coalesce("i.kind", F.lit("")).alias("shot_kind")).drop("bucket")
+    span = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))
+    listed = intervals.filter("start < end").select("slug", F.explode(span).alias("bucket"), F.struct("start", "end", "shot_id", "kind").alias("i"))
+    held = listed.groupBy("slug", "bucket").agg(F.array_sort(F.collect_list("i")).alias("held"))
+    found = points.withColumn("bucket", F.floor(F.col("frame") / width)).join(held, ["slug", "bucket"], "left")
+    first = F.get(F.filter("held", lambda i: (F.col("frame") >= i["start"]) & (F.col("frame") < i["end"])), F.lit(0))
+    return found.withColumn("first", first).select(*points.columns, F.coalesce("first.shot_id", F.lit(-1)).alias("shot_id"), F.coalesce("first.kind", F.lit("")).alias("shot_kind"))
 
 
 def islands(points: DataFrame, at_least: int) -> DataFrame:
@@ -101,13 +110,15 @@ def sliding(points: DataFrame, size: int, step: int, coverage: float) -> DataFra
 
 
 def pick_apart(windows: DataFrame, top: int) -> DataFrame:
-    """Per slug the best windows that don't overlap a better picked one."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "start", "end")))
-    picked = F.aggregate(
-        ordered, F.slice(ordered, 1, 0),
-        lambda done, w: F.when((F.size(done) < top) & ~F.exists(done, lambda d: (w["start"] < d["end"]) & (d["start"] < w["end"])), F.array_append(done, w)).otherwise(done),
-    )
-    return windows.groupBy("slug").agg(picked.alias("picked")).select("slug", F.posexplode("picked").alias("nth", "w")).select("slug", F.col("nth").cast("long"), "w.start", "w.end", (-F.col("w.minus")).alias("score"))
+    """Per slug the best windows that don't overlap a better picked one: ``top`` rounds over one exchange, each an unordered window that can spill."""
+    own = Window.partitionBy("slug")
+    rest = windows.select("slug", F.struct((-F.col("score")).alias("minus"), "start", "end").alias("w"), F.lit(True).alias("free"))
+    picks = [f"pick{i}" for i in range(top)]
+    for pick in picks:
+        rest = rest.withColumn(pick, F.min(F.when(F.col("free"), F.col("w"))).over(own))
+        rest = rest.withColumn("free", F.col("free") & ~((F.col("w.start") < F.col(f"{pick}.end")) & (F.col(f"{pick}.start") < F.col("w.end"))))
+    picked = F.filter(F.array(*(F.any_value(p) for p in picks)), lambda p: p.isNotNull())
+    return rest.groupBy("slug").agg(picked.alias("picked")).select("slug", F.posexplode("picked").alias("nth", "w")).select("slug", F.col("nth").cast("long"), "w.start", "w.end", (-F.col("w.minus")).alias("score"))
 
 
 def evenly(start: Column, end: Column, n: int) -> Column:

@@ -44,10 +44,7 @@ def prototypes(spark, d):
 
 
 def distances(spark, d):
-    """Each vector to each prototype; there are as many prototypes as labels."""
-    p = prototypes(spark, d).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mean"))), lambda c: c["mean"]).alias("proto"))
-    h = histograms(spark, d).withColumnRenamed("label", "own")
-    return h.crossJoin(F.broadcast(p)).select("vec_id", "own", "label", sc.hellinger(F.col("hist"), F.col("proto")).alias("dist"))
+    return identity.to_prototypes(histograms(spark, d).withColumnRenamed("label", "own"), prototypes(spark, d), ["vec_id", "own"], "label")
 
 
 def margins(spark, d):
