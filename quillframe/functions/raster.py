@@ -82,3 +82,95 @@ def concavity(mask: np.ndarray) -> float:
     x, y = hull(corners).T
     area = abs(np.dot(x, np.roll(y, 1)) - np.dot(y, np.roll(x, 1))) / 2
     return float(1 - len(xs) / area)
+
+
+def depth(mask: np.ndarray) -> np.ndarray:
+    """Squared distance of each pixel to the nearest one outside the mask; the picture's border isn't outside. Columns first, then rows."""
+    h, w = mask.shape
+    far = (h + w) ** 2
+    column = np.where(mask, h + w, 0).astype(np.int64)
+    for y in range(1, h):
+        column[y] = np.minimum(column[y], column[y - 1] + 1)
+    for y in range(h - 2, -1, -1):
+        column[y] = np.minimum(column[y], column[y + 1] + 1)
+    across = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
+    return np.stack([np.minimum((np.minimum(row, h + w) ** 2 + across).min(1), far) for row in column])
+
+
+def seed(votes: np.ndarray, persons: np.ndarray | None = None, near: np.ndarray | None = None, least: int = 1500, on_person: float = 0.5) -> tuple[int, int, int] | None:
+    """``x, y, area`` of the deepest point of the largest component that lies on a person, or else near the mat; None if it is too small."""
+    labels = components(votes)
+    sizes = np.bincount(labels.ravel())
+    held = np.bincount(labels.ravel(), weights=persons.ravel(), minlength=len(sizes)) if persons is not None else None
+    touched = np.bincount(labels.ravel(), weights=near.ravel(), minlength=len(sizes)) if near is not None else np.ones(len(sizes))
+
+    def largest(fit: np.ndarray) -> int:
+        areas = np.where(fit, sizes, 0)
+        areas[0] = 0
+        return int(areas.argmax())
+
+    best = largest(held >= on_person * sizes) if held is not None and persons.any() else 0
+    chosen = bool(best) and sizes[best] >= least
+    if not chosen:
+        best = largest(touched > 0)
+    if not best or sizes[best] < least:
+        return None
+    region = labels == best
+    if chosen and (region & persons).any():
+        region &= persons
+    y, x = np.unravel_index(int(depth(region).argmax()), region.shape)
+    return int(x), int(y), int(sizes[best])
+
+
+def box_sums(plane: np.ndarray, size: int) -> np.ndarray:
+    """Sums over squares about each pixel; beyond the border the plane is mirrored without its edge."""
+    r = size // 2
+    padded = np.pad(plane.astype(np.int64), r, mode="reflect")
+    run = np.pad(padded.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    return run[size:, size:] - run[:-size, size:] - run[size:, :-size] + run[:-size, :-size]
+
+
+def flat_share(grey: np.ndarray, limit: float = 12.0, size: int = 9) -> float:
+    """Share of pixels with hardly any detail about them, by the variance within a square."""
+    n, grey = size * size, grey.astype(np.int64)
+    return float((n * box_sums(grey * grey, size) - box_sums(grey, size) ** 2 < limit * n * n).mean())
+
+
+def gradient(plane: np.ndarray) -> np.ndarray:
+    """Sum of the absolute Scharr derivatives; the border is mirrored."""
+    p = np.pad(plane.astype(np.int64), 1, mode="reflect")
+    across, down = p[:, 2:] - p[:, :-2], p[2:] - p[:-2]
+    gx = 3 * across[:-2] + 10 * across[1:-1] + 3 * across[2:]
+    gy = 3 * down[:, :-2] + 10 * down[:, 1:-1] + 3 * down[:, 2:]
+    return np.abs(gx) + np.abs(gy)
+
+
+def filled_hull(mask: np.ndarray) -> np.ndarray:
+    """All pixels whose centres lie in the hull of the mask's pixel centres, its border included."""
+    ys, xs = np.nonzero(mask)
+    if len(xs) < 3:
+        return mask.copy()
+    corners = hull(np.stack([xs, ys], 1))
+    if len(corners) < 3:
+        return mask.copy()
+    yy, xx = np.indices(mask.shape)
+    inside = np.ones(mask.shape, bool)
+    for (x0, y0), (x1, y1) in zip(corners, np.roll(corners, -1, 0), strict=True):
+        inside &= (x1 - x0) * (yy - y0) - (y1 - y0) * (xx - x0) >= 0
+    return inside
+
+
+def mat_area(near: np.ndarray, close: int = 7) -> np.ndarray:
+    """The mat from pixels of its colour: gaps closed, the largest component, and its hull, so that who stands on it counts as on it."""
+    labels = components(closed(near, close) if close else near)
+    sizes = np.bincount(labels.ravel())[1:]
+    return filled_hull(labels == sizes.argmax() + 1) if len(sizes) else np.zeros_like(near)
+
+
+def recoloured(lab: np.ndarray, mask: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The mask's pixels brought to another mean and deviation by channel; all others stay."""
+    out, px = lab.astype(float).copy(), lab[mask].astype(float)
+    if len(px):
+        own = px.std(0)
+        out[mask] = (px - px.mean(0)) * np.divide(spread, own, out=np.ones_like(own), where=own > 0) + mean
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)

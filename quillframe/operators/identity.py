@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import scalars
+from quillframe.session import stacked
 
 HEALTHY, SOFT, HARD, ESCALATED = "healthy", "soft_repair", "hard_reanchor", "escalated_to_llm"
 
@@ -98,4 +99,4 @@ def health(frames: DataFrame, wait: int = 8, most: int = 5) -> DataFrame:
         return pd.DataFrame({"slug": group["slug"], "frame": group["frame"], "state": out})
 
     folded = f.filter("triggered").select("slug", "burst", "frame", "calm", "severe").groupBy("slug", "burst").applyInPandas(run, HEALTH_SCHEMA)
-    return folded.unionByName(f.filter(~F.coalesce("triggered", F.lit(False))).select("slug", "frame", F.lit(HEALTHY).alias("state")))
+    return stacked(folded, f.filter(~F.coalesce("triggered", F.lit(False))).select("slug", "frame", F.lit(HEALTHY).alias("state")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.session import stacked
+
 
 def frames_of(events: DataFrame) -> DataFrame:
     """The event table as per-user frame sequences."""
@@ -49,7 +51,7 @@ def cooldown(cuts: DataFrame, gap: int = 10) -> DataFrame:
 def build_shots(frames: DataFrame, cuts: DataFrame) -> DataFrame:
     """Half-open intervals between interior cuts, numbered; empty ones are dropped."""
     ends = frames.groupBy("slug").agg(F.max("frame").alias("last"))
-    bounds = cuts.filter("frame > 0").unionByName(ends.select("slug", F.lit(0).cast("long").alias("frame"))).distinct()
+    bounds = stacked(cuts.filter("frame > 0"), ends.select("slug", F.lit(0).cast("long").alias("frame"))).distinct()
     order = Window.partitionBy("slug").orderBy("frame")
     shots = bounds.withColumn("next", F.lead("frame").over(order)).join(ends, "slug")
     shots = shots.select("slug", F.col("frame").alias("start"), F.coalesce("next", F.col("last") + 1).alias("end")).filter("start < end")
@@ -98,7 +100,7 @@ def holes(chunks: DataFrame, length: Column) -> DataFrame:
     reached = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inner = chunks.select("slug", reached.alias("hole_start"), F.col("start").alias("hole_end"))
     tail = chunks.groupBy("slug").agg(F.max("end").alias("hole_start"), F.max(length).alias("hole_end"))
-    return inner.unionByName(tail).filter("hole_start < hole_end").select("slug", F.col("hole_start").cast("long"), F.col("hole_end").cast("long"))
+    return stacked(inner, tail).filter("hole_start < hole_end").select("slug", F.col("hole_start").cast("long"), F.col("hole_end").cast("long"))
 
 
 def sliding(points: DataFrame, size: int, step: int, coverage: float) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.session import stacked
+
 
 def on_stride(frame: Column, start: Column, stride: int) -> Column:
     """Whether a frame is on the grid of its shot, which begins with the shot."""
@@ -23,7 +25,7 @@ def as_of_grid(df: DataFrame, key: str, time: str, order: str, value: str, step:
     rows = df.select(key, time, F.col(order).alias("quill_order"), F.struct(F.col(value).alias("v")).alias("held"), F.lit(0).alias("is_grid"))
     marks = grid.select(key, time, F.lit(None).cast(df.schema[order].dataType).alias("quill_order"), F.lit(None).cast(rows.schema["held"].dataType).alias("held"), F.lit(1).alias("is_grid"))
     upto = Window.partitionBy(key).orderBy(time, "is_grid", "quill_order").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.unionByName(marks).withColumn("held", F.last("held", True).over(upto)).filter("is_grid = 1").select(key, time, F.col("held.v").alias(value))
+    return stacked(rows, marks).withColumn("held", F.last("held", True).over(upto)).filter("is_grid = 1").select(key, time, F.col("held.v").alias(value))
 
 
 def first_or_fail(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, least: int) -> DataFrame:

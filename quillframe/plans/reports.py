@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import scalars as sc
 from quillframe.operators import evaluation as ev
 from quillframe.plans.tracks import SIGNALS, verdicts
-from quillframe.session import table
+from quillframe.session import stacked, table
 
 
 def scan_prune(spark, d):
@@ -20,14 +20,14 @@ def scan_prune(spark, d):
 def chunk_union_offset(spark, d):
     """Sources behind one another, with offset ids and their provenance."""
     s = table(spark, d, "supplier").select((F.lit(0) + F.col("s_suppkey")).alias("shot"), F.lit("supplier").alias("root"))
-    return s.unionByName(table(spark, d, "customer").select((F.lit(1000) * 1000 + F.col("c_custkey")).alias("shot"), F.lit("customer").alias("root")))
+    return stacked(s, table(spark, d, "customer").select((F.lit(1000) * 1000 + F.col("c_custkey")).alias("shot"), F.lit("customer").alias("root")))
 
 
 def upsert_registry(spark, d):
     """Fresh rows replace those of their key; others stay."""
     old = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit("old").alias("version"))
     new = table(spark, d, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("status")).withColumn("version", F.lit("new"))
-    return old.join(new, "o_orderkey", "left_anti").unionByName(new)
+    return stacked(old.join(new, "o_orderkey", "left_anti"), new)
 
 
 def anti_resume(spark, d):
@@ -45,7 +45,7 @@ def probe_first_reader(spark, d):
     a = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("k"), F.lit(0).alias("reader"), F.col("l_partkey").alias("hit"))
     b = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("reader"), F.col("o_custkey").alias("hit"))
     first = F.row_number().over(Window.partitionBy("k").orderBy("reader", "hit"))
-    return a.unionByName(b).withColumn("nth", first).filter("nth = 1").drop("nth")
+    return stacked(a, b).withColumn("nth", first).filter("nth = 1").drop("nth")
 
 
 def four_way(spark, d):
@@ -66,7 +66,7 @@ def gold_keep(spark, d):
 
 def union_distinct(spark, d):
     l = table(spark, d, "labels")  # noqa: E741
-    return l.filter("quality = 1").select("doc_id").union(l.filter("toxic = 1").select("doc_id")).distinct()
+    return stacked(l.filter("quality = 1").select("doc_id"), l.filter("toxic = 1").select("doc_id")).distinct()
 
 
 def except_pool(spark, d):
@@ -112,7 +112,7 @@ def tail_vs_control(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     tail = o.orderBy("o_totalprice", "o_orderkey").limit(100).withColumn("label", F.lit("tail"))
     control = o.orderBy(F.md5(F.col("o_orderkey").cast("string")), "o_orderkey").limit(100).withColumn("label", F.lit("control"))
-    return tail.unionByName(control).groupBy("label").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.avg((F.col("o_totalprice") < 20000).cast("double")), 6).alias("low"))
+    return stacked(tail, control).groupBy("label").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.avg((F.col("o_totalprice") < 20000).cast("double")), 6).alias("low"))
 
 
 def run_summary(spark, d):
@@ -169,7 +169,7 @@ def longest_shot(spark, d):
 def bottom_and_first(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.round("o_totalprice", 2).alias("price"))
     low = o.orderBy("price", "o_orderkey").limit(6).withColumn("kind", F.lit("bottom"))
-    return low.unionByName(o.orderBy("o_orderkey").limit(400).withColumn("kind", F.lit("first")))
+    return stacked(low, o.orderBy("o_orderkey").limit(400).withColumn("kind", F.lit("first")))
 
 
 def slugify(spark, d):

@@ -12,6 +12,7 @@ from quillframe.operators import pixels as px
 from quillframe.operators import runs
 from quillframe.plans import sequences
 from quillframe.session import table
+from quillframe.sources import stores
 
 W, H = 60, 36
 STEP, STRIDE = 30, 7
@@ -215,6 +216,23 @@ def parity(spark, d):
     return runs.differences(li.groupBy("l_partkey").agg(F.sum("l_quantity").alias("q")), again.filter("l_partkey % 10 > 0"), ["l_partkey"], "q", 1e-6)
 
 
+def media_probe(spark, d):
+    """Probe reports made of parts; those of every third don't count their frames."""
+    p = table(spark, d, "part")
+    stream = lambda kind, frames: F.struct(F.lit(kind).alias("codec_type"), F.col("p_size").alias("width"), F.lit(720).alias("height"), F.lit("30000/1001").alias("r_frame_rate"), frames.alias("nb_frames"))
+    frames = F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey").cast("string"))
+    report = F.to_json(F.struct(F.array(stream("audio", F.lit("1")), stream("video", frames)).alias("streams"), F.struct((F.col("p_partkey") % 100).cast("string").alias("duration")).alias("format")))
+    return stores.probe(p.select("p_partkey", report.alias("value")))
+
+
+def report_events(spark, d):
+    """Reports with their first 40 events, read back."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    made = stores.report_document(e, "user_id", "event_id", ["event_id", "event_type"], 40)
+    read = F.from_json("value", "n long, events array<struct<event_id:long,event_type:string>>")
+    return made.select("user_id", read.alias("r")).select("user_id", "r.n", F.size("r.events").cast("long").alias("kept"), F.array_max(F.transform("r.events", lambda x: x["event_id"])).alias("last"))
+
+
 _SCORES = """SELECT frame, count(*) FILTER (WHERE label > 0 AND x BETWEEN 10 AND 40) / greatest(1, count(*) FILTER (WHERE x BETWEEN 10 AND 40)) AS recall,
   count(*) FILTER (WHERE label > 0 AND y < 18) / nullif(count(*) FILTER (WHERE label > 0), 0) AS purity,
   least(count(*) FILTER (WHERE label = 1 AND x BETWEEN 10 AND 40), count(*) FILTER (WHERE label = 2 AND x BETWEEN 10 AND 40)) / nullif(count(*) FILTER (WHERE label > 0 AND x BETWEEN 10 AND 40), 0) AS split FROM px"""
@@ -265,6 +283,10 @@ SQL = {
     "ruling": """SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN l_suppkey ELSE l_partkey END AS a, CASE WHEN l_returnflag = 'R' THEN l_partkey ELSE l_suppkey END AS b,
       CASE WHEN l_linestatus = 'O' AND l_tax > 0.04 THEN 3 ELSE l_linenumber END AS bank, 0 AS consecutive FROM lineitem""",
     "measured_signals": """SELECT l_orderkey, l_linenumber, l_partkey, '{"frag":' || CASE WHEN l_linenumber = 2 THEN 'null' ELSE printf('%.1f', l_quantity) END || ',"dist":' || l_linenumber || '.0}' AS signals FROM lineitem""",
+    "media_probe": """SELECT p_partkey, p_size AS width, 720 AS height, CAST(29.97 AS DOUBLE) AS fps, CAST(p_partkey % 100 AS DOUBLE) AS duration_s,
+      CASE WHEN p_partkey % 3 > 0 THEN p_partkey ELSE CAST(floor(CAST(29.97 AS DOUBLE) * (p_partkey % 100)) AS BIGINT) END AS n_frames FROM part""",
+    "report_events": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events)
+      SELECT user_id, count(*) AS n, count(*) FILTER (WHERE nth <= 40) AS kept, max(event_id) FILTER (WHERE nth <= 40) AS last FROM r GROUP BY user_id""",
     "parity": "SELECT count(*) FILTER (WHERE l_partkey % 10 > 0) AS n, count(*) FILTER (WHERE l_partkey % 10 = 0) AS missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS apart FROM (SELECT DISTINCT l_partkey FROM lineitem)",
 }
 QUERIES = {name: globals()[name] for name in SQL}

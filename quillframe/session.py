@@ -7,6 +7,19 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark 4.1 may take a union of equally partitioned inputs for partitioned, though AQE reads them with partitions
+#: coalesced differently; what follows then meets parts of a key, and rows are lost. So no exchange is saved there.
+UNION_KEEPS_PARTITIONING = "spark.sql.unionOutputPartitioning"
+
+
+def stacked(first: DataFrame, *others: DataFrame, allow_missing: bool = False) -> DataFrame:
+    """Rows of all, by name. The session's setting is made here, so that operators hold on sessions not built here."""
+    first.sparkSession.conf.set(UNION_KEEPS_PARTITIONING, "false")
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=allow_missing)
+    return first
+
+
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings that the engine expects on a cluster too."""
     return (
@@ -14,6 +27,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .appName("quillframe")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config(UNION_KEEPS_PARTITIONING, "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QUILLFRAME_DRIVER_MEMORY", memory))
