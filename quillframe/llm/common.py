@@ -16,6 +16,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.session import stacked
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -136,7 +138,7 @@ def without(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     there = gone.select(*(F.col(c).alias(f"gone_{i}") for i, c in enumerate(key))).hint("shuffle_hash")
     doubtful = marked.filter("screen_hit")
     same = [doubtful[c].eqNullSafe(there[f"gone_{i}"]) for i, c in enumerate(key)]
-    return marked.filter("not screen_hit").unionByName(doubtful.join(there, same, "left_anti")).drop("screen_hit")
+    return stacked(marked.filter("not screen_hit"), doubtful.join(there, same, "left_anti")).drop("screen_hit")
 
 
 #: A key is hot with more than this share of all rows, so there are at most 1000 of them.
@@ -159,7 +161,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, hot: list, how: str =
         return left.join(right, key, how)
     among = F.coalesce(F.col(key).isin(hot), F.lit(False))
     there = left.filter(among).join(F.broadcast(right.filter(among)), key, how)
-    return there.unionByName(left.filter(~among).join(right.filter(~among), key, how))
+    return stacked(there, left.filter(~among).join(right.filter(~among), key, how))
 
 
 def text_or_empty(column: str | Column = "text") -> Column:

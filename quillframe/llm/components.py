@@ -14,7 +14,7 @@ def met_by_node(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
 
 
 def large_star(edges: DataFrame, total: int) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = common.stacked(edges.select("u", "v"), edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     return met_by_node(both, least, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
@@ -23,7 +23,7 @@ def small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     moved = met_by_node(down, least, total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    return common.stacked(moved, least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
 def components(edges: DataFrame, ws: common.Workspace, label: str) -> DataFrame:

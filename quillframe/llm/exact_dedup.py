@@ -116,7 +116,7 @@ def find_copies(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     def rows(df: DataFrame, batch: str) -> DataFrame:
         return df.select("doc_id", common.text_or_empty().alias("text"), F.lit(batch).alias("batch"))
 
-    every = rows(snapshot, "snapshot").unionByName(rows(incoming, "incoming"))
+    every = common.stacked(rows(snapshot, "snapshot"), rows(incoming, "incoming"))
     prints = ws.save(every.select("doc_id", "batch", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n_bytes")), "digests")
     groups = ws.save(prints.groupBy("batch", "digest", "n_bytes").agg(F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("copies")), "groups")
     frozen, fresh = (groups.filter(F.col("batch") == b).drop("batch") for b in ("snapshot", "incoming"))

@@ -290,7 +290,7 @@ def scan(docs: DataFrame) -> DataFrame:
     covered = notices.alias("b")
     same = F.expr("a.doc_id <=> b.doc_id and a.text_key = b.text_key and a.piece = b.piece and a.first between b.first and b.last")
     unknown = lone.join(covered, same, "left_anti").select("doc_id", "text_key", F.struct("first", F.lit(UNKNOWN).alias("family"), F.round("licence", 3).alias("score")).alias("hit"))
-    hits = notices.select("doc_id", "text_key", F.struct("first", "family", F.round("p", 3).alias("score")).alias("hit")).unionByName(unknown)
+    hits = common.stacked(notices.select("doc_id", "text_key", F.struct("first", "family", F.round("p", 3).alias("score")).alias("hit")), unknown)
     found = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("hit")).alias("found"))
     found = ws.save(found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "found"), "found")
     facts = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_paragraphs"))

@@ -57,7 +57,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1)
     met = doubtful.join(there, doubtful["doc_id"].eqNullSafe(there["flag_id"]) & (doubtful["text_key"] == there["flag_key"]), "left")
     split = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "drops"), lambda i: F.get(split, i))
-    texts = marked.filter("not screen_hit").select("doc_id", "text", F.lit(None).cast("array<int>").alias("drops")).unionByName(met.select("doc_id", "text", "drops"))
+    texts = common.stacked(marked.filter("not screen_hit").select("doc_id", "text", F.lit(None).cast("array<int>").alias("drops")), met.select("doc_id", "text", "drops"))
     return texts.select(
         "doc_id",
         F.size(split).cast("long").alias("n_lines"),

@@ -246,10 +246,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     ws.drop()  # the exchanges behind a written table can go
 
     def home() -> DataFrame:
-        out = texts
-        for t in told:
-            out = out.unionByName(t, allowMissingColumns=True)
-        return out.groupBy("batch")
+        return common.stacked(texts, *told, allow_missing=True).groupBy("batch")
 
     for level in range(2, order):
         told.append(ws.save(home().applyInArrow(ask_next(level, buckets), spark_schema(ASKED)).groupBy("part").applyInArrow(tell, spark_schema(TOLD)), f"told{level}", "zstd"))

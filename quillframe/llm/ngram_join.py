@@ -277,7 +277,7 @@ def verified(pairs: DataFrame, sets: DataFrame, ws: common.Workspace, label: str
 def stars(sets: DataFrame, pivots: int = 3) -> DataFrame:
     """``u, v``: each document with the pivots that most of its prefix tokens name."""
     one = lambda order, tokens: sets.select("doc_id", "n", F.size("tokens").alias("common"), F.lit(order).alias("order"), F.explode(tokens).alias("token"))
-    entries = one(0, F.slice("tokens", F.lit(1), prefix_size())).unionByName(one(1, F.col("second"))).unionByName(one(2, F.col("third")))
+    entries = common.stacked(one(0, F.slice("tokens", F.lit(1), prefix_size())), one(1, F.col("second")), one(2, F.col("third")))
     best = entries.groupBy("order", "token").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), F.bitwise_not("doc_id").alias("minus"), "n", "common")).alias("pivot"))
     named = entries.join(best, ["order", "token"]).filter(F.col("doc_id") != F.bitwise_not("pivot.minus"))
     fits = (F.least("common", "pivot.common") * 9 >= (F.col("n") + F.col("pivot.n")) * 4)
@@ -463,13 +463,13 @@ def joined_classes(docs: DataFrame, all_links: bool) -> tuple[DataFrame, DataFra
         first = ws.save(components(near, ws, "stars"), "first")
         far = ws.save(verified(crossing(sets, first), sets, ws, "met_rest"), "far")
         ws.drop()
-        links = near.unionByName(far)
+        links = common.stacked(near, far)
         root = lambda end: F.coalesce(F.col(f"{end}.root"), F.col(f"far.{end}"))
         joined = far.alias("far").join(first.alias("u"), F.col("far.u") == F.col("u.node"), "left").join(first.alias("v"), F.col("far.v") == F.col("v.node"), "left")
         second = components(joined.select(root("u").alias("u"), root("v").alias("v")), ws, "rest")
         top = second.select(F.col("node").alias("mid"), F.col("root").alias("top"))
         moved = first.join(top, first["root"] == top["mid"], "left").select("node", F.coalesce("top", "root").alias("root"))
-        parts = ws.save(moved.unionByName(second).groupBy("node").agg(F.min("root").alias("root")), "parts")
+        parts = ws.save(common.stacked(moved, second).groupBy("node").agg(F.min("root").alias("root")), "parts")
     placed = classes.join(parts, classes["class_id"] == parts["node"], "left").select("n", "sign", "class_id", "members", F.coalesce("root", "class_id").alias("part"))
     placed = ws.save(placed, "placed")
     ws.drop()

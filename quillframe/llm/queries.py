@@ -21,7 +21,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     first, second = (docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == i) for i in (0, 1))
     found = secret_scan.scan_versions(first, "doc_id", ledger)
-    return secret_scan.report(found.unionByName(secret_scan.scan_versions(second, "doc_id", ledger)))
+    return secret_scan.report(common.stacked(found, secret_scan.scan_versions(second, "doc_id", ledger)))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,7 +136,7 @@ def scan_versions(versions: DataFrame, key: str, ledger_path: str, rules: tuple[
     work = heads.filter(F.size("todo") > 0).select(F.col("blob").alias("todo_blob"), "first_key", "todo").hint("shuffle_hash")
     doubtful = marked.filter("screen_hit")
     doubtful = doubtful.join(work, doubtful["key"].eqNullSafe(work["first_key"]) & (doubtful["blob"] == work["todo_blob"])).select("blob", "todo", "text")
-    scanned = first.unionByName(doubtful).select("blob", F.col("todo").alias("rules"), scan(F.col("text"), F.col("todo"), rules).alias("findings"))
+    scanned = common.stacked(first, doubtful).select("blob", F.col("todo").alias("rules"), scan(F.col("text"), F.col("todo"), rules).alias("findings"))
     # a row that is repeated under the same key was scanned twice
     scanned.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("findings").alias("findings")).write.mode("append").parquet(ledger_path)
     ws.drop("others")
