@@ -20,6 +20,8 @@ from quillframe.session import table
 from quillframe.sources import stores
 
 SHAPE = (20, 24)
+#: Pixels of the planes that a kernel takes at once, so that memory doesn't follow the rows of a batch.
+STACK = 1 << 18
 #: Shipped by value, so that executors need no installed package.
 cloudpickle.register_pickle_by_value(raster)
 cloudpickle.register_pickle_by_value(stores)
@@ -37,14 +39,18 @@ def drawn(key: int) -> np.ndarray:
 
 
 def packed_planes(spark, d) -> DataFrame:
-    """``key, mask``: planes as the store keeps them, packed to bits and deflated."""
+    """``key, mask``: planes as the store keeps them, packed to bits and deflated.
+
+    Keys are few bytes and planes much work, so keys are dealt out first; a file's row groups may be fewer than the cores.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             masks = [raster.pack(drawn(k)) for k in batch.column("key").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(masks, pa.binary())], ["key", "mask"])
 
-    return table(spark, d, "part").selectExpr("CAST(p_partkey AS BIGINT) AS key").mapInArrow(run, "key long, mask binary")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return table(spark, d, "part").selectExpr("CAST(p_partkey AS BIGINT) AS key").repartition(parts).mapInArrow(run, "key long, mask binary")
 
 
 def measured(planes: DataFrame, schema: str, measure) -> DataFrame:
@@ -60,17 +66,32 @@ def measured(planes: DataFrame, schema: str, measure) -> DataFrame:
     return planes.mapInArrow(run, f"key long, {schema}")
 
 
+def measured_stacks(planes: DataFrame, schema: str, measure) -> DataFrame:
+    """``key`` and the columns that ``measure`` returns for a stack of planes, a value for each."""
+    step = max(1, STACK // (SHAPE[0] * SHAPE[1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                found = measure(np.stack([raster.unpack(m, SHAPE) for m in part.column("mask").to_pylist()]))
+                yield pa.RecordBatch.from_pydict({"key": part.column("key"), **found})
+
+    return planes.mapInArrow(run, f"key long, {schema}")
+
+
 def mask_codec(spark, d):
     """Pixels and their first moments after a round trip through the codec."""
     return measured(packed_planes(spark, d), "pixels long, sum_x long, sum_y long", lambda m: {"pixels": int(m.sum()), "sum_x": int(np.nonzero(m)[1].sum()), "sum_y": int(np.nonzero(m)[0].sum())})
 
 
 def components(spark, d):
-    def core(m):
-        size, strays = raster.core_and_strays(m)
-        return {"core": size, "strays": round(strays, 6), "n_components": int(raster.components(m).max())}
+    def cores(stack):
+        labels = raster.components(stack)
+        core, strays = raster.core_and_strays(stack, labels)
+        return {"core": core.tolist(), "strays": [round(x, 6) for x in strays.tolist()], "n_components": labels.max((1, 2)).tolist()}
 
-    return measured(packed_planes(spark, d), "core long, strays double, n_components long", core)
+    return measured_stacks(packed_planes(spark, d), "core long, strays double, n_components long", cores)
 
 
 def hull_concavity(spark, d):

@@ -10,6 +10,7 @@ from quillframe import cli
 from quillframe.functions import raster
 from quillframe.operators import identity, pixels, runs
 from quillframe.operators import intervals as iv
+from quillframe.plans import planes as scene
 from quillframe.sources import stores
 from quillframe.streaming import tracks as st
 
@@ -239,3 +240,31 @@ def test_shots_of_a_union_keep_whole_keys(spark, tmp_path):
     shots = iv.build_shots(stored, iv.cooldown(iv.raw_cuts(stored)))
     placed = iv.points_in_intervals(stored, shots.withColumn("kind", F.lit(""))).groupBy("slug", "shot_id").agg(F.median("signal").alias("mid"))
     assert rows(shots.join(placed, ["slug", "shot_id"]).select("shot_id", "start", "end", "mid")) == [(0, 0, 30, 0.5), (1, 30, 60, 50.5)]
+
+
+def test_components_of_a_stack_equal_flooding():
+    """Every plane of a stack by itself: one pixel, full ones, a spiral's arms, grain, and pixels at borders that meet the next plane."""
+    rng = np.random.default_rng(9)
+    for shape in ((1, 1), (1, 6), (7, 1), (9, 11)):
+        stack = np.stack([np.zeros(shape), np.ones(shape), *(rng.random((20, *shape)) < rng.random((20, 1, 1)))]).astype(bool)
+        stack[2, 0, ::2] = stack[2, -1, ::2] = True
+        got = raster.components(stack)
+        core, strays = raster.core_and_strays(stack)
+        for mask, labels, size, share in zip(stack, got, core, strays, strict=True):
+            want, n = np.zeros(shape, int), 0
+            for at in zip(*np.nonzero(mask), strict=True):
+                n += not want[at]
+                todo = [] if want[at] else [at]
+                while todo:
+                    y, x = todo.pop()
+                    if not want[y, x]:
+                        want[y, x] = n
+                        todo += [(v, u) for v in range(max(0, y - 1), min(shape[0], y + 2)) for u in range(max(0, x - 1), min(shape[1], x + 2)) if mask[v, u]]
+            sizes = np.bincount(want.ravel())[1:]
+            assert (labels == want).all() and (raster.components(mask) == want).all()
+            assert size == sizes.max(initial=0) and abs(share - (1 - size / max(1, sizes.sum()) if n else 0)) < 1e-12
+
+
+def test_planes_are_dealt_out(spark):
+    """One row group of keys must not mean one task of planes."""
+    assert scene.packed_planes(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
