@@ -97,11 +97,14 @@ def components(spark, d):
 def hull_concavity(spark, d):
     """Of the largest component: opening would take a thin one away, so it is chosen by its label."""
 
-    def hollow(m):
-        labels = raster.components(m)
-        return {"concavity": round(raster.concavity(labels == np.bincount(labels.ravel())[1:].argmax() + 1), 6)}
+    def hollow(stack):
+        labels = raster.components(stack)
+        sizes = raster.component_sums(labels)
+        sizes[:, 0] = 0
+        largest = (labels == sizes.argmax(1)[:, None, None]) & (labels > 0)
+        return {"concavity": [round(x, 6) for x in raster.concavity(largest).tolist()]}
 
-    return measured(packed_planes(spark, d), "concavity double", hollow)
+    return measured_stacks(packed_planes(spark, d), "concavity double", hollow)
 
 
 def seed_points(spark, d):

@@ -268,3 +268,18 @@ def test_components_of_a_stack_equal_flooding():
 def test_planes_are_dealt_out(spark):
     """One row group of keys must not mean one task of planes."""
     assert scene.packed_planes(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_concavity_of_a_stack_equals_the_hull_of_all_corners():
+    rng = np.random.default_rng(4)
+    for shape in ((1, 1), (1, 6), (7, 1), (12, 15)):
+        stack = rng.random((40, *shape)) < rng.random((40, 1, 1)) ** 2
+        stack[0], stack[1], stack[10:20, shape[0] // 2] = False, True, False
+        for mask, got in zip(stack, raster.concavity(stack), strict=True):
+            ys, xs = np.nonzero(mask)
+            want = 0.0
+            if len(xs):
+                x, y = raster.hull(np.concatenate([np.stack([xs + dx, ys + dy], 1) for dx in (0, 1) for dy in (0, 1)])).T
+                want = 1 - len(xs) / (abs(np.dot(x, np.roll(y, 1)) - np.dot(y, np.roll(x, 1))) / 2)
+            assert got == raster.concavity(mask) and abs(got - want) < 1e-12
+    assert raster.concavity(np.array([[[1, 0], [1, 1]], [[0, 0], [1, 1]]], bool)).tolist() == [1 - 3 / 3.5, 0.0]
