@@ -108,11 +108,11 @@ def hull_concavity(spark, d):
 
 
 def seed_points(spark, d):
-    def deepest(m):
-        x, y, size = raster.seed(m, least=1)
-        return {"x": x, "y": y, "area": size}
+    def deepest(stack):
+        found = [s or (None, None, None) for s in raster.seeds(stack, least=1)]
+        return dict(zip(("x", "y", "area"), map(list, zip(*found, strict=True)), strict=True))
 
-    return measured(packed_planes(spark, d), "x long, y long, area long", deepest)
+    return measured_stacks(packed_planes(spark, d), "x long, y long, area long", deepest)
 
 
 def mask_store(spark, d):

@@ -283,3 +283,24 @@ def test_concavity_of_a_stack_equals_the_hull_of_all_corners():
                 want = 1 - len(xs) / (abs(np.dot(x, np.roll(y, 1)) - np.dot(y, np.roll(x, 1))) / 2)
             assert got == raster.concavity(mask) and abs(got - want) < 1e-12
     assert raster.concavity(np.array([[[1, 0], [1, 1]], [[0, 0], [1, 1]]], bool)).tolist() == [1 - 3 / 3.5, 0.0]
+
+
+def test_seeds_of_a_stack_equal_a_search():
+    """Distances by brute force; planes without a pixel and without one outside are in the stack."""
+    rng = np.random.default_rng(6)
+    for shape in ((1, 5), (6, 1), (9, 8)):
+        stack = rng.random((20, *shape)) < 0.75
+        stack[0], stack[1] = False, True
+        for mask, deep, got in zip(stack, raster.depth(stack), raster.seeds(stack, least=1), strict=True):
+            out = list(zip(*np.nonzero(~mask), strict=True))
+            for y, x in np.ndindex(*shape):
+                assert deep[y, x] == min(((y - v) ** 2 + (x - u) ** 2 for v, u in out), default=sum(shape) ** 2)
+            assert got == raster.seed(mask, least=1)
+            if got is None:
+                assert not mask.any()
+                continue
+            labels = raster.components(mask)
+            region = labels == np.bincount(labels[mask]).argmax()
+            away = [(min(((y - v) ** 2 + (x - u) ** 2 for v, u in np.argwhere(~region).tolist()), default=sum(shape) ** 2), -y, -x) for y, x in np.argwhere(region).tolist()]
+            assert got == (-max(away)[2], -max(away)[1], region.sum())
+    assert raster.seeds(np.zeros((0, 3, 3), bool)) == []
