@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillframe.operators import gates
 from quillframe.operators import skeletons as sk
-from quillframe.session import table
+from quillframe.session import placed_table, table
 
 WIDTH, HEIGHT = 1000, 500
 LIMITS = {"purity_min": 0.95, "proto_margin_min": 0.03, "proto_dist_max": 0.05, "area_jump_max": 40.0}
@@ -58,13 +59,21 @@ def feature_rows(spark, d):
 
 
 def shot_signals(spark, d):
-    """Signals per part: shares and means of its lines; fragments are unmeasured (NaN) for every fifth."""
-    li = table(spark, d, "lineitem")
-    part = li.groupBy(F.col("l_partkey").alias("slug")).agg(
-        F.avg(1 - F.col("l_discount") * 6).alias("stability"), F.avg(F.col("l_tax") / 2).alias("flip_rate"), F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("empty_rate"),
-        F.avg(1 - F.col("l_tax") * 10).alias("margin"), F.avg(F.col("l_quantity") / 10).alias("frag"), F.avg(F.col("l_discount") * 10).alias("stray_frac"), F.avg(1 - F.col("l_tax") * 7).alias("core_stability"),
-        F.avg(F.col("l_linenumber") / 10).alias("dist"), (F.sum("l_quantity") / 1000).alias("area"), F.avg(F.col("l_linenumber") / 8).alias("border"),
-    )
+    """Signals per part: shares and means of its lines; fragments are unmeasured (NaN) for every fifth.
+
+    Many means lie exactly at a limit, where the order of adding decides. Lines are added in the table's order, as the
+    SQL does on one thread, so the answer doesn't hang on splits; that moves every line, and a window spills large parts.
+    """
+    li = placed_table(spark, d, "lineitem")
+    order = Window.partitionBy("l_partkey").orderBy("file", "place")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mean = lambda x: F.avg(x).over(whole)
+    part = li.select(
+        F.col("l_partkey").alias("slug"), F.row_number().over(order).alias("nth"),
+        mean(1 - F.col("l_discount") * 6).alias("stability"), mean(F.col("l_tax") / 2).alias("flip_rate"), mean(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("empty_rate"),
+        mean(1 - F.col("l_tax") * 10).alias("margin"), mean(F.col("l_quantity") / 10).alias("frag"), mean(F.col("l_discount") * 10).alias("stray_frac"), mean(1 - F.col("l_tax") * 7).alias("core_stability"),
+        mean(F.col("l_linenumber") / 10).alias("dist"), (F.sum("l_quantity").over(whole) / 1000).alias("area"), mean(F.col("l_linenumber") / 8).alias("border"),
+    ).filter("nth = 1").drop("nth")
     return part.withColumn("frag", F.when(F.col("slug") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("frag")))
 
 

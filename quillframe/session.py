@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Spark 4.1 may take a union of equally partitioned inputs for partitioned, though AQE reads them with partitions
@@ -40,3 +41,8 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, lazily."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def placed_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table with each row's file and place in it, which give its order however Spark splits and reads the files."""
+    return table(spark, sf_dir, name).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))

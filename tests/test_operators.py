@@ -144,3 +144,21 @@ def test_flags_of_a_shot(spark):
     assert flags(frag=3.0) == ["stray_blobs"] and flags(frag=3.0, stray_frac=nan) == flags(frag=3.0, core_stability=0.5) == ["fragmented"]
     assert flags(area=0.5, border=0.3, stability=0.1, flip_rate=0.1, empty_rate=0.2, margin=0.1, dist=0.5) == ["mat_fill", "unstable", "id_flips", "athlete_missing", "low_margin", "far_apart", "area_huge"]
     assert flags(area=0.001) == ["area_tiny"]
+
+
+def test_flags_at_a_limit_go_by_the_order_of_the_table(spark, tmp_path):
+    """The SQL on one thread adds lines in the table's order; splits, row groups and files must not show."""
+    import duckdb
+    import pyarrow.parquet as pq
+
+    from quillframe.plans import features
+
+    lines = pq.read_table("/root/testdata/sf0.001/lineitem.parquet")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in range(8):
+        pq.write_table(lines.take(np.arange(i, len(lines), 8)), tmp_path / "lineitem.parquet" / f"part-{i}.parquet", row_group_size=100)
+    duck = duckdb.connect()
+    duck.execute("SET threads = 1")
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    expected = dict(duck.execute(features.SQL["shot_flags"]).fetchall())
+    assert {r["slug"]: r["flags"] for r in features.shot_flags(spark, str(tmp_path)).collect()} == expected
